@@ -7,10 +7,10 @@ Lines are compared without leading and trailing blanks; lines shorter than
 
 1. Lines become 128-bit hashes; each distinct line knows its first place.
 2. Lines within one edit have their first or their last half in common, for
-   the shorter's length, and all but one of sixteen sectors. Hashes of those
-   tell which distinct lines can have such a neighbour at all; the rest go no
-   further.
-3. Each remaining line emits its neighbourhood as hashed keys, built from sums
+   the shorter's length, and all but one of SECTORS sectors. Hashes of those
+   tell which distinct lines can have such a neighbour at all, and where the
+   edit would be; the rest goes no further.
+3. There each line emits its neighbourhood as hashed keys, built from sums
    of character-and-place hashes: the line itself, the line with each place
    blanked, and the line with each character left out. Equal blanked keys are
    one change apart; a left-out key equal to another line's own key is one
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = 16
-#: Characters of a block of prefix sums.
-BLOCK = 16
+#: Sectors of a line of which two neighbours differ in one.
+SECTORS = 32
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,26 +46,30 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return chosen.select("doc_id", "line", F.trim("s").alias("s")).where(F.length("s") >= LEAST)
 
 
-def _sectors(s: Column, parts: int) -> list[Column]:
-    """Hashes of the line without one of ``parts`` equal sectors, for each sector,
-    for the line's length as that of the shorter and of the longer of a pair.
+def _sectors(s: Column, parts: int) -> Column:
+    """(n, q, h): hashes of the line without sector q of ``parts`` equal ones, for
+    n the line's length as that of the shorter and of the longer of a pair.
 
     Lines within one edit have one of these in common: that of the sector (of
     the shorter's length) with the edit, by the text before and after it.
     """
-    out = []
-    for n in (F.length(s), F.length(s) - 1):
-        edge = lambda q: F.floor(n * q / parts).cast("int")  # noqa: B023, E731
-        out += [F.xxhash64(n, F.lit(q), F.substring(s, F.lit(1), edge(q)), F.right(s, n - edge(q + 1))) for q in range(parts)]
-    return out
 
+    def without(n: Column, q: Column) -> Column:
+        edge = lambda k: F.floor(n * k / parts).cast("int")
+        return F.struct(n.alias("n"), q.alias("q"), F.xxhash64(n, q, F.substring(s, F.lit(1), edge(q)), F.right(s, n - edge(q + 1))).alias("h"))
 
-def _sharing(rows: DataFrame, hashes: Column) -> DataFrame:
-    """The (h1, h2) of rows that have one of the hashes in common with a row of another text."""
-    spread = rows.select("h1", "h2", F.explode(hashes).alias("sector"))
+    lengths = (F.length(s), F.length(s) - 1)
+    if parts == 2:  # for all lines: compiled code
+        return F.array(*[without(n, F.lit(q)) for n in lengths for q in range(parts)])
+    return F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda q, n=n: without(n, q)) for n in lengths])
+
+
+def _sharing(rows: DataFrame, sectors: Column) -> DataFrame:
+    """(h1, h2, n, q) of rows that have a sector's hash in common with a row of another text."""
+    spread = rows.select("h1", "h2", F.explode(sectors).alias("x")).select("h1", "h2", "x.*")
     both = F.struct("h1", "h2")
-    shared = spread.groupBy("sector").agg(F.min(both).alias("a"), F.max(both).alias("z")).where("a <> z").select("sector")
-    return spread.join(shared, "sector").select("h1", "h2").distinct()
+    shared = spread.groupBy("h").agg(F.min(both).alias("a"), F.max(both).alias("z")).where("a <> z").select("h")
+    return spread.join(shared, "h").select("h1", "h2", "n", "q")
 
 
 def _fold(array: Column) -> Column:
@@ -73,57 +77,49 @@ def _fold(array: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """first, kind, key: the hashed neighbourhood of each line (first, s); kind 0 own, 1 blanked, 2 left out.
+    """first, kind, key: the hashed neighbourhood of each line (first, s, n, q) at the places of sector q; kind 0 own, 1 blanked, 2 left out.
 
     With c(i) the hash of character i and place i, a line's sum is the
     exclusive-or of all c(i). Blanking place p takes c(p) out and adds the
     place. Leaving p out moves later characters one place down: c(i) before p
-    and d(i), the hash of character i and place i - 1, after it. Sums before a
-    place go by blocks of BLOCK characters.
+    and d(i), the hash of character i and place i - 1, after it.
     """
     letters = F.split("s", "")
-    x = lines.select("first", F.length("s").alias("n"), F.transform(letters, lambda ch, i: F.xxhash64(ch, i)).alias("c"), F.transform(letters, lambda ch, i: F.xxhash64(ch, i - 1)).alias("d"))
-    blocks = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))
-    per_block = lambda name: F.transform(blocks, lambda k: _fold(F.slice(name, k * BLOCK + 1, BLOCK)))
-    x = x.select("*", _fold(F.col("c")).alias("all_c"), _fold(F.col("d")).alias("all_d"), per_block("c").alias("by_c"), per_block("d").alias("by_d"))
-    earlier = lambda name: F.transform(name, lambda _, k: _fold(F.slice(name, F.lit(1), k)))
-    x = x.select("*", earlier("by_c").alias("to_c"), earlier("by_d").alias("to_d"))
-
-    def before(array: str, sums: str, i: Column) -> Column:
-        block = F.floor(i / BLOCK).cast("int")
-        return F.element_at(F.col(sums), block + 1).bitwiseXOR(_fold(F.slice(array, block * BLOCK + 1, i - block * BLOCK)))
-
+    edge = lambda q: F.floor(F.col("n") * q / SECTORS).cast("int")
+    x = lines.select("first", F.length("s").alias("size"), edge(F.col("q")).alias("lo"), F.least(edge(F.col("q") + 1), F.length("s") - 1).alias("hi"), F.transform(letters, lambda ch, i: F.xxhash64(ch, i)).alias("c"), F.transform(letters, lambda ch, i: F.xxhash64(ch, i - 1)).alias("d"))
+    x = x.select("first", "size", "lo", _fold(F.col("c")).alias("all"), _fold(F.slice("c", F.lit(1), F.col("lo"))).bitwiseXOR(_fold(F.slice("d", F.col("lo") + 1, F.col("size")))).alias("cd"), F.slice("c", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("c"), F.slice("d", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1).alias("d"))
     row = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    n, all_c, all_d = F.col("n"), F.col("all_c"), F.col("all_d")
-    own = F.array(row(0, F.xxhash64(n, all_c)))
-    blanked = F.transform("c", lambda h, i: row(1, F.xxhash64(n, all_c.bitwiseXOR(h), i)))
-    out = F.transform("d", lambda h, i: row(2, F.xxhash64(n - 1, before("c", "to_c", i).bitwiseXOR(all_d).bitwiseXOR(before("d", "to_d", i)).bitwiseXOR(h))))
-    return x.select("first", F.explode(F.array_distinct(F.concat(own, blanked, out))).alias("v")).select("first", "v.kind", "v.key")
+    size, lo = F.col("size"), F.col("lo")
+    own = F.array(row(0, F.xxhash64(size, "all")))
+    blanked = F.transform("c", lambda h, i: row(1, F.xxhash64(size, F.col("all").bitwiseXOR(h), lo + i)))
+    moved = lambda i: _fold(F.slice("c", F.lit(1), i)).bitwiseXOR(_fold(F.slice("d", F.lit(1), i)))
+    out = F.transform("d", lambda h, i: row(2, F.xxhash64(size - 1, F.col("cd").bitwiseXOR(moved(i)).bitwiseXOR(h))))
+    return x.select("first", F.explode(F.concat(own, blanked, out)).alias("v")).select("first", "v.kind", "v.key").distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, line, by_doc_id, by_line, near: each line to drop and the earliest line that it repeats."""
     place = F.struct("doc_id", "line")
     s = F.col("s")
-    hashed = _lines(docs, key, text).select("doc_id", "line", F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.array(_sectors(s, 2)).alias("halves"))
+    hashed = _lines(docs, key, text).select("doc_id", "line", F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), _sectors(s, 2).alias("halves"))
     hashed = common.cut(hashed, "lines")
     firsts = common.cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("h1", "h2", F.struct("f.doc_id", "f.line").alias("first"), "f.halves"), "distinct")
-    # 2. distinct lines that share a half, then all but a sixteenth, with another
-    some = firsts.join(_sharing(firsts, F.col("halves")), ["h1", "h2"])
+    # 2. distinct lines that share a half, then all but one sector, with another
+    some = firsts.join(_sharing(firsts, F.col("halves")).select("h1", "h2").distinct(), ["h1", "h2"])
     wanted = some.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("w"))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_t"))
     found = texts.join(wanted, "doc_id").select("doc_id", F.split("_t", "\n").alias("all"), F.explode("w").alias("w"))
     found = found.select("w.h1", "w.h2", F.struct("doc_id", F.col("w.line").alias("line")).alias("first"), F.trim(F.try_element_at("all", F.col("w.line") + 1)).alias("s"))
     found = common.cut(found.where((F.xxhash64("s") == F.col("h1")) & (F.xxhash64(F.lit(1), s) == F.col("h2"))).dropDuplicates(["h1", "h2"]), "found")
-    close = common.cut(found.join(_sharing(found, F.array(_sectors(s, 16))), ["h1", "h2"]), "close")
+    close = common.cut(found.join(_sharing(found, _sectors(s, SECTORS)), ["h1", "h2"]), "close")
     # 3. and 4. variants, their first places, and each line's earliest neighbour
     variants = common.cut(_variants(close), "variants")
     kind, first = F.col("kind"), F.col("first")
     earliest = variants.groupBy("key").agg(*[F.min(F.when(kind == k, first)).alias(f"by{k}") for k in range(3)], F.count("*").alias("n")).where("n > 1")
     other = F.when(kind == 0, F.col("by2")).when(kind == 1, F.col("by1")).otherwise(F.col("by0"))
     met = variants.join(earliest, "key").select("first", other.alias("by")).where("by < first").groupBy("first").agg(F.min("by").alias("by"))
-    theirs = close.select(first.alias("by"), s.alias("r"))
-    near = close.join(met, "first").join(theirs, "by").where(F.levenshtein("s", "r", 1) >= 0).select("h1", "h2", F.col("by").alias("near"))
+    theirs = found.select(first.alias("by"), s.alias("r"))
+    near = found.join(met, "first").join(theirs, "by").where(F.levenshtein("s", "r", 1) >= 0).select("h1", "h2", F.col("by").alias("near"))
     # every occurrence of a line with an earlier neighbour goes; of others, all but the first
     fates = firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
     by = F.least("first", "near")
