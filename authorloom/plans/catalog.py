@@ -2,10 +2,507 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import chinese
+from ..functions import similarity as S
+from ..functions import text as T
+from ..operators import authors as author_ops
+from ..operators import blocking, calibrate, cluster, dedup, graph, incremental, metrics, scoring, stress, trace
+from ..operators.components import components
+from ..streaming import micro_batches
+from . import adapter as A
+from . import oracle as O
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _round(*names: str, places: int = 6):
+    return [F.round(n, places).alias(n) for n in names]
+
+
+# ---- scalar functions -------------------------------------------------------
+
+def _name_forms(spark, sf_dir) -> DataFrame:
+    m = A.mentions(spark, sf_dir).select("firstname", "lastname").distinct()
+    f, last = F.col("firstname"), F.col("lastname")
+    forms = F.array(F.concat(f, F.lit("  "), last), F.concat(F.upper(last), F.lit(", "), f, F.lit("-Q Z")), last, F.concat(f, F.lit("-x. "), last, F.lit("'s")), F.lit(" "))
+    return m.select("firstname", "lastname", F.explode(forms).alias("raw"))
+
+
+@query(O.NAME_KEYS)
+def name_keys(spark, sf_dir):
+    rows = _name_forms(spark, sf_dir)
+    return rows.select("raw", "firstname", "lastname", T.normalize_name("raw").alias("norm"), T.normalize_string("raw").alias("plain"), T.surname("raw").alias("surname"), T.surname_initial("raw").alias("surname_initial"), T.fini_key("raw").alias("fini"), T.aini_key("raw").alias("aini"), T.heuristic_key("raw").alias("heuristic"), T.fini_key("raw", "lastname", "firstname").alias("fini_parsed"), T.aini_key("raw", "lastname", "firstname").alias("aini_parsed")).distinct()
+
+
+@query(O.TITLES)
+def title_norm(spark, sf_dir):
+    return A.articles(spark, sf_dir).select("seq", T.normalize_doi("doi").alias("doi"), T.normalize_title("title").alias("title"))
+
+
+@query(O.AFFILIATIONS)
+def affiliation_norm(spark, sf_dir):
+    n = A.read(spark, sf_dir, "nation").select("n_name")
+    forms = F.array(F.concat(F.lit("University of "), "n_name"), F.concat(F.lit("Department of Physics, "), "n_name", F.lit(" Institute")), F.concat(F.lit(" The  "), "n_name"))
+    rows = n.select(F.explode(forms).alias("raw"))
+    return rows.select("raw", T.normalize_affiliation("raw").alias("norm"), T.block_string("raw").alias("block"), F.array_join(F.array_sort(T.affiliation_tokens("raw")), " ").alias("words"), T.salted_hash("raw", "s").alias("hash"))
+
+
+@query(O.IDENTIFIERS)
+def identifiers(spark, sf_dir):
+    c = A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    raw = F.concat(F.when(F.col("k") % 3 == 0, "https://orcid.org/").when(F.col("k") % 3 == 1, "http://orcid.org/").otherwise(" "), F.lpad(F.col("k").cast("string"), 8, "0"), F.lit(" "))
+    doi = F.concat(F.when(F.col("k") % 2 == 0, "https://doi.org/").otherwise("http://dx.doi.org/"), F.lit("10.1/A"), F.col("k").cast("string"))
+    return c.select("k", T.clean_orcid(raw).alias("orcid"), T.normalize_doi(doi).alias("doi"), T.mention_id(doi, F.col("k"), F.lit("x")).alias("mention_id"), T.full_name(F.when(F.col("k") % 2 == 0, "Ann"), F.when(F.col("k") % 3 == 0, "Lee")).alias("full_name"))
+
+
+@query(O.SCRIPTS)
+def script_and_redaction(spark, sf_dir):
+    words = A.read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("w")).distinct()
+    r = T.redacted_name("w", "salt")
+    return words.select("w", T.script("w").alias("script"), r["hash"].alias("hash"), r["tokens"].alias("tokens"), r["length"].alias("length"), r["has_initial"].alias("has_initial"))
+
+
+@query(O.CN_PREDICATES)
+def chinese_predicates(spark, sf_dir):
+    m = A.chinese_mentions(spark, sf_dir)
+    one, two = chinese.dual_keys("raw_name", "lastname", "firstname")
+    return m.select("mention_id", "raw_name", chinese.is_romanized_chinese("raw_name").alias("wide"), chinese.is_romanized_chinese("raw_name", strict=True).alias("strict"), chinese.is_chinese_name("raw_name").alias("narrow"), one.alias("key1"), two.alias("key2"))
+
+
+@query(O.NAME_SIMILARITY)
+def name_similarity(spark, sf_dir):
+    """Similar names with a common surname stem: an equi-join on it."""
+    n = A.mentions(spark, sf_dir).select("raw_name", "firstname").distinct()
+    pairs = n.select(F.col("raw_name").alias("a"), "firstname").join(n.select(F.col("raw_name").alias("b"), "firstname"), "firstname").where("a < b")
+    return pairs.select("a", "b", F.round(S.name_similarity("a", "b"), 6).alias("similarity"), F.round(S.token_ratio("a", "b"), 6).alias("token_ratio"))
+
+
+@query(O.JACCARD)
+def jaccard_coauthors(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    a = A.authors(m).select(F.col("seq").alias("person"), F.col("coauthors").alias("all_coauthors"))
+    return m.join(a, "person").select("mention_id", F.round(S.jaccard(F.col("coauthors"), F.col("all_coauthors")), 6).alias("jaccard"))
+
+
+@query(O.JARO_WINKLER)
+def jaro_winkler(spark, sf_dir):
+    """Values of 0.82 or more: there the prefix bonus is undisputed."""
+    n = A.mentions(spark, sf_dir).select("raw_name", "firstname").distinct()
+    pairs = n.select(F.col("raw_name").alias("a"), "firstname").join(n.select(F.col("raw_name").alias("b"), "firstname"), "firstname").where("a < b")
+    return pairs.select("a", "b", F.round(S.jaro_winkler_udf(spark)("a", "b"), 6).alias("jw")).where("jw >= 0.82")
+
+
+@query()
+def indel_ratio(spark, sf_dir):
+    n = A.mentions(spark, sf_dir).select("raw_name", "firstname").distinct()
+    pairs = n.select(F.col("raw_name").alias("a"), "firstname").join(n.select(F.col("raw_name").alias("b"), "firstname"), "firstname").where("a < b")
+    return pairs.select("a", "b", S.indel_ratio_udf(spark)("a", "b").alias("ratio"))
+
+
+# ---- clusters, gold sets, metrics -------------------------------------------
+
+def _sizes(clusters: DataFrame) -> DataFrame:
+    return clusters.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("mention_id").alias("first"))
+
+
+@query(O.FINI)
+def fini_clusters(spark, sf_dir):
+    return _sizes(cluster.fini(A.mentions(spark, sf_dir)))
+
+
+@query(O.AINI)
+def aini_clusters(spark, sf_dir):
+    return _sizes(cluster.aini(A.mentions(spark, sf_dir)))
+
+
+@query(O.ORACLE)
+def oracle_clusters(spark, sf_dir):
+    return _sizes(cluster.oracle(A.mentions(spark, sf_dir)))
+
+
+@query(O.SUMMARY)
+def cluster_summary(spark, sf_dir):
+    return cluster.summary(cluster.fini(A.mentions(spark, sf_dir))).select("num_clusters", "num_mentions", *_round("avg_size"), "singletons", "max_size")
+
+
+@query(O.HEURISTIC)
+def heuristic_clusters(spark, sf_dir):
+    """Affiliations of one word: similar only if equal."""
+    return _sizes(cluster.heuristic(A.mentions(spark, sf_dir)))
+
+
+@query(O.GOLD)
+def gold_clusters(spark, sf_dir):
+    return _sizes(cluster.gold(A.mentions(spark, sf_dir)))
+
+
+@query(O.SIZE_DISTRIBUTION)
+def cluster_size_distribution(spark, sf_dir):
+    return cluster.size_distribution(cluster.oracle(A.mentions(spark, sf_dir)))
+
+
+@query(O.GOLD_ROLLUP)
+def goldset_rollup(spark, sf_dir):
+    return cluster.gold_rollup(A.mentions(spark, sf_dir))
+
+
+@query(O.ORCID_COUNTS)
+def orcid_counts(spark, sf_dir):
+    return stress.orcid_counts(A.mentions(spark, sf_dir))
+
+
+@query(O.SPLITS)
+def splits(spark, sf_dir):
+    return cluster.split_by_orcid(A.mentions(spark, sf_dir))
+
+
+@query(O.INIT_EVAL)
+def init_eval_split(spark, sf_dir):
+    return cluster.init_eval(A.mentions(spark, sf_dir))
+
+
+def _gold_pred(spark, sf_dir):
+    m = A.mentions(spark, sf_dir).select("mention_id", "raw_name", "firstname", "lastname", "orcid", "venue")
+    return m, cluster.gold(m), cluster.fini(m)
+
+
+def _variants(f, spark, sf_dir):
+    _, gold, pred = _gold_pred(spark, sf_dir)
+    out = None
+    for v in ("v1", "v2", "v3"):
+        row = f(gold, pred, v).withColumn("variant", F.lit(v))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(O.B_CUBED)
+def b_cubed(spark, sf_dir):
+    return _variants(metrics.b_cubed, spark, sf_dir).select("variant", "mentions", *_round("precision", "recall", "f1"))
+
+
+@query(O.PAIRWISE)
+def pairwise(spark, sf_dir):
+    return _variants(metrics.pairwise, spark, sf_dir).select("variant", "tp", "fp", "fn", *_round("precision", "recall", "f1"))
+
+
+@query(O.CONFLICTS)
+def conflict_rate(spark, sf_dir):
+    _, gold, pred = _gold_pred(spark, sf_dir)
+    return metrics.conflict_rate(gold, pred).select("conflicts", "eligible", *_round("rate"))
+
+
+@query(O.SUBSET)
+def subset_metrics(spark, sf_dir):
+    m, gold, pred = _gold_pred(spark, sf_dir)
+    some = m.where("venue = 'Brand#1' OR venue = 'Brand#2'")
+    return metrics.pairwise(metrics.restrict(gold, some), metrics.restrict(pred, some)).select("tp", "fp", "fn", *_round("precision", "recall", "f1"))
+
+
+# ---- blocking, scoring, decisions -------------------------------------------
+
+@query(O.KEY_STATS)
+def blocking_key_stats(spark, sf_dir):
+    keys = blocking.author_keys(A.authors(A.mentions(spark, sf_dir)))
+    return keys.groupBy("key").agg(F.count("*").alias("authors")).groupBy(F.substring_index("key", ":", 1).alias("kind")).agg(F.count("*").alias("keys"), F.sum("authors").alias("entries"), F.max("authors").alias("largest"))
+
+
+@query(O.CANDIDATES)
+def blocking_candidates(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    found = blocking.candidates(A.probes(m, blind=False), A.authors(m))
+    return found.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("author_id").alias("first"), F.max("author_id").alias("last"))
+
+
+def _compared(spark, sf_dir, blind=True):
+    m = A.mentions(spark, sf_dir)
+    p, a = A.probes(m, blind), A.authors(m)
+    return p, a, scoring.compare(scoring.pairs_of(p, a, blocking.candidates(p, a)))
+
+
+@query(O.COMPARISONS)
+def comparison_vector(spark, sf_dir):
+    """How many candidate pairs have each combination of bins, and their mean similarities."""
+    _, _, c = _compared(spark, sf_dir, blind=False)
+    means = [F.round(F.avg(x), 6).alias(x) for x in ("name_sim", "coauthor_sim", "journal_sim", "affiliation_sim")]
+    return c.groupBy("name_bin", "orcid_bin", "coauthor_bin", "journal_bin", "affiliation_bin").agg(F.count("*").alias("pairs"), *means)
+
+
+@query(O.BEST_MATCH)
+def best_match_baseline(spark, sf_dir):
+    _, _, c = _compared(spark, sf_dir)
+    return scoring.best(scoring.scored(c)).select("mention_id", "author_id", *_round("score"))
+
+
+@query(O.BEST_FS)
+def best_match_fs(spark, sf_dir):
+    """Scores of the best candidate (which may tie to the last bit, so without its id)."""
+    _, _, c = _compared(spark, sf_dir, blind=False)
+    return scoring.scored(c, "fs").groupBy("mention_id").agg(F.round(F.max("score"), 6).alias("score"))
+
+
+@query(O.TOP_K)
+def top_k_candidates(spark, sf_dir):
+    _, _, c = _compared(spark, sf_dir)
+    return scoring.best(scoring.scored(c), 5).select("mention_id", "rank", *_round("score"))
+
+
+@query(O.DECISIONS)
+def three_way_decision(spark, sf_dir):
+    p, _, c = _compared(spark, sf_dir)
+    d = scoring.decide(p, scoring.scored(c), accept=0.605, reject=0.455)
+    return d.groupBy("decision").agg(F.count("*").alias("mentions"), F.sum("candidate_count").alias("candidates"), F.count("best_author_id").alias("merged"))
+
+
+@query(O.LEGACY)
+def legacy_decision(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    p, a = A.probes(m), A.authors(m)
+    scores = scoring.pairs_of(p, a, blocking.candidates(p, a)).select("mention_id", "author_id", scoring.legacy_similarity().alias("score"))
+    top = scores.groupBy("mention_id").agg(F.max("score").alias("score"))
+    return top.select("mention_id", F.round("score", 6).alias("score"), scoring.legacy_decision(F.col("score"), 0.602).alias("decision"))
+
+
+def _true_scores(spark, sf_dir):
+    p, a, c = _compared(spark, sf_dir)
+    top = scoring.best(scoring.scored(c)).join(a.select("author_id", F.col("seq").alias("author_true_id")), "author_id")
+    return p.select("mention_id", "true_id").join(top.select("mention_id", "score", "author_true_id"), "mention_id", "left"), a.select(F.col("seq").alias("true_id")).where("true_id % 2 = 0")
+
+
+ACCEPTS, REJECTS = (0.7025, 0.6525, 0.6025, 0.5525), (0.5025, 0.4025, 0.2025)
+
+
+def _sweep(spark, sf_dir):
+    from .. import storage
+
+    scores, known = _true_scores(spark, sf_dir)
+    scores = storage.cut(scores, "scores")  # each mention is scored once for all variants
+    out = None
+    for v in metrics.DECISION_VARIANTS:
+        got = metrics.decision_scores(scores, metrics.threshold_grid(spark, list(ACCEPTS), list(REJECTS)), known, v).withColumn("variant", F.lit(v))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(O.SWEEP)
+def threshold_sweep(spark, sf_dir):
+    return _sweep(spark, sf_dir).select("variant", "accept", "reject", "merged", "new", "unknown", "correct", "wrong", *_round("precision", "recall", "f1"))
+
+
+@query(O.BEST_F1)
+def best_f1(spark, sf_dir):
+    return metrics.best_f1(_sweep(spark, sf_dir).where("variant = 'd1'").withColumn("f1", F.round("f1", 6))).select("accept", "reject", "f1")
+
+
+@query(O.PR_POINTS)
+def pr_points(spark, sf_dir):
+    return metrics.pr_points(_sweep(spark, sf_dir).where("variant = 'd2'")).select("accept", "reject", *_round("recall", "precision"))
+
+
+@query(O.STRING_MATCH)
+def string_baselines(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    p, a = A.probes(m), A.authors(m)
+    out = None
+    for key in ("name", "surname"):
+        got = metrics.string_match(p, a, key).join(p.select("mention_id", "true_id"), "mention_id").agg(F.count("*").alias("matched"), F.count_if(F.col("author_id") == F.concat(F.lit("au_"), F.lpad(F.col("true_id").cast("string"), 10, "0"))).alias("correct")).withColumn("baseline", F.lit(key))
+        out = got if out is None else out.union(got)
+    return out
+
+
+# ---- article deduplication ---------------------------------------------------
+
+@query(O.DEDUP_EXACT)
+def dedup_doi_title(spark, sf_dir):
+    return dedup.exact(A.articles(spark, sf_dir))
+
+
+@query(O.DEDUP_STATS)
+def dedup_stats(spark, sf_dir):
+    return dedup.stats(A.articles(spark, sf_dir))
+
+
+@query(O.DEDUP_TOKEN)
+def dedup_title_token_pairs(spark, sf_dir):
+    t = A.articles(spark, sf_dir).select(T.normalize_title("title").alias("title")).where("title <> ''").distinct()
+    return dedup.fuzzy_pairs(t, 0.8, "token")
+
+
+@query()
+def dedup_title_fuzzy(spark, sf_dir):
+    """Indel ratio on whole titles; the candidate keys grow with a title's length, so titles are those of part names with order keys."""
+    names = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.lit("").alias("doi"), F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"), "p_brand").alias("title"))
+    return dedup.fuzzy(names)
+
+
+# ---- graph -------------------------------------------------------------------
+
+def _graph(spark, sf_dir) -> DataFrame:
+    m = A.mentions(spark, sf_dir).select("doi", F.concat(F.lit("au_"), F.lpad(F.col("person").cast("string"), 10, "0")).alias("author_id"))
+    return graph.edges(graph.coauthor_links(m))
+
+
+@query(O.EDGES)
+def coauthor_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)
+
+
+@query(O.DEGREES)
+def degree_stats(spark, sf_dir):
+    return graph.degrees(_graph(spark, sf_dir))
+
+
+@query(O.GRAPH_STATS)
+def graph_stats(spark, sf_dir):
+    return graph.stats(_graph(spark, sf_dir)).select("nodes", "edges", *_round("avg_degree"))
+
+
+@query(O.TOP_EDGES)
+def strongest_collaborations(spark, sf_dir):
+    return graph.strongest(_graph(spark, sf_dir), 50)
+
+
+@query(O.K_HOP)
+def two_hops(spark, sf_dir):
+    """Nodes within two steps of the first author."""
+    starts = spark.createDataFrame([("au_0000000000",)], "start string")
+    return graph.k_hop(_graph(spark, sf_dir), starts, 2)
+
+
+@query(O.REMOVED)
+def graph_without_node(spark, sf_dir):
+    g = graph.remove_nodes(_graph(spark, sf_dir), spark.createDataFrame([("au_0000000000",), ("au_0000000007",)], "node string"))
+    return g.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+
+
+@query(O.AFFECTED)
+def affected_authors(spark, sf_dir):
+    """The 100 strongest authors around one publication's."""
+    pub = spark.createDataFrame([("p", "au_0000000000"), ("p", "au_0000000001")], "pub_id string, author_id string")
+    return graph.affected_by_publication(_graph(spark, sf_dir), pub, 1, 100)
+
+
+@query(O.COAUTHOR_IDS)
+def coauthor_name_lookup(spark, sf_dir):
+    """How many authors bear each mention's co-authors' names."""
+    m = A.mentions(spark, sf_dir)
+    names = m.select(F.array_sort("coauthors").alias("coauthors")).distinct().withColumn("record_id", F.md5(F.array_join("coauthors", "|")))
+    return graph.coauthor_ids(names, A.authors(m)).groupBy("record_id").agg(F.count("*").alias("authors"))
+
+
+@query()
+def connected_components(spark, sf_dir):
+    """Components of persons who share an order; tests compare with a plain search."""
+    g = _graph(spark, sf_dir).select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
+    return components(g).groupBy("root").agg(F.count("*").alias("n")).select("n")
+
+
+# ---- calibration, stress, traces ---------------------------------------------
+
+@query(O.CALIBRATION)
+def mu_calibration(spark, sf_dir):
+    """With a native ratio in place of Jaro-Winkler."""
+    m = A.mentions(spark, sf_dir)
+    feats = lambda p: calibrate.pair_features(p, m, calibrate.levenshtein_ratio)
+    negative = m.select("mention_id", "person", "firstname", F.md5("mention_id").alias("h")).where("orcid <> ''")
+    first = negative.groupBy("firstname").agg(F.min_by("mention_id", "h").alias("a"))
+    pairs = negative.join(first, "firstname").where("mention_id <> a").join(m.select(F.col("mention_id").alias("a"), F.col("person").alias("pa")), "a").where("person <> pa").select("a", F.col("mention_id").alias("b"))
+    return calibrate.table(feats(calibrate.positive_pairs(m, 3)), feats(pairs))
+
+
+@query()
+def mu_calibration_jaro_winkler(spark, sf_dir):
+    m = A.mentions(spark, sf_dir)
+    return calibrate.table(calibrate.pair_features(calibrate.positive_pairs(m, 3), m), calibrate.pair_features(calibrate.negative_pairs(m), m))
+
+
+@query(O.STRESS)
+def stress_names(spark, sf_dir):
+    return stress.stress(A.chinese_mentions(spark, sf_dir)).select("mention_id", "raw_name", "raw_name_original", "stress_op")
+
+
+@query(O.STRESS_REPORT)
+def stress_report(spark, sf_dir):
+    return stress.report(stress.stress(A.chinese_mentions(spark, sf_dir)))
+
+
+@query(O.SUBSET_STATS)
+def chinese_subset_stats(spark, sf_dir):
+    return stress.subset_stats(A.chinese_mentions(spark, sf_dir)).select("total", "chinese", "non_chinese", *_round("ratio"), "chinese_orcids")
+
+
+@query(O.TRACE)
+def trace_redacted(spark, sf_dir):
+    m = A.probes(A.mentions(spark, sf_dir), blind=False)
+    r = trace.redacted_mention("salt")
+    return m.select("mention_id", r["name"]["hash"].alias("name_hash"), r["name"]["tokens"].alias("tokens"), r["coauthor_count"].alias("coauthors"), F.array_join(r["affiliation"], ",").alias("affiliations"), F.array_join(r["journal_samples"], ",").alias("journals"), F.array_join(blocking.reported_keys("name", "orcid"), ",").alias("keys"))
+
+
+@query()
+def decision_trace(spark, sf_dir):
+    p, _, c = _compared(spark, sf_dir)
+    d = scoring.decide(p, scoring.scored(c), 0.605, 0.455)
+    t = trace.rows(p, d, "baseline", 0.605, 0.455)
+    return t.groupBy("decision").agg(F.count("*").alias("n"), F.count_distinct("deterministic_hash").alias("hashes"), F.min("deterministic_hash").alias("first_hash"))
+
+
+# ---- authors, incremental ----------------------------------------------------
+
+@query(O.AUTHOR_STATS)
+def author_stats(spark, sf_dir):
+    a = A.authors(A.mentions(spark, sf_dir)).withColumn("linked_records", F.col("journals"))
+    return author_ops.stats(a).select("total", "with_orcid", "unique_surnames", *_round("avg_records"))
+
+
+@query(O.MERGED)
+def merged_authors(spark, sf_dir):
+    """Authors of odd number folded into the ones before."""
+    a = A.authors(A.mentions(spark, sf_dir)).withColumns({"linked_records": F.array("author_id"), "confidence_score": F.lit(1.0)})
+    into = a.where("seq % 2 = 1").select(F.col("author_id").alias("source_id"), F.concat(F.lit("au_"), F.lpad((F.col("seq") - 1).cast("string"), 10, "0")).alias("target_id"), F.lit(0.9).alias("score"))
+    return author_ops.merge_authors(a, into).select("author_id", F.size("coauthors").alias("coauthors"), F.array_join("journals", ",").alias("journals"), F.size("affiliations").alias("affiliations"), F.array_join("linked_records", ",").alias("linked_records"), *_round("confidence_score"))
+
+
+@query()
+def cn_greedy_clusters(spark, sf_dir):
+    return _sizes(cluster.greedy_chinese(A.chinese_mentions(spark, sf_dir)))
+
+
+@query()
+def incremental_replay(spark, sf_dir):
+    """The exact ordered fold over customers as mentions; affiliations are left out, as five segments would join all into one fold."""
+    m = A.chinese_mentions(spark, sf_dir).select("mention_id", F.col("_original_index").alias("seq"), F.col("raw_name").alias("name"), "orcid", F.array().cast("array<string>").alias("coauthors"), F.array("affiliation").alias("journals"), F.array().cast("array<string>").alias("affiliations"))
+    return incremental.replay(m, 0.6, 0.2).groupBy("decision").agg(F.count("*").alias("n"), F.count_distinct("author_id").alias("authors"))
+
+
+@query()
+def incremental_snapshots(spark, sf_dir):
+    """Two batches: the second is decided against the authors that the first left."""
+    from .. import storage
+
+    m = A.probes(A.mentions(spark, sf_dir)).withColumn("early", F.md5("mention_id") < "8")
+    early, late = m.where("early"), m.where(~F.col("early"))
+    none = spark.createDataFrame([], micro_batches._AUTHORS)
+    first = storage.cut(incremental.snapshot(early, none), "first")
+    authors = storage.cut(incremental.absorb(none, early, first), "authors")
+    return incremental.snapshot(late, authors, "baseline", 0.605, 0.455).groupBy("decision").agg(F.count("*").alias("n"), F.sum("candidate_count").alias("candidates"))
