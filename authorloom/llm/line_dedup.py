@@ -61,7 +61,8 @@ def _sectors(s: Column, parts: int) -> Column:
     lengths = (F.length(s), F.length(s) - 1)
     if parts == 2:  # for all lines: compiled code
         return F.array(*[without(n, F.lit(q)) for n in lengths for q in range(parts)])
-    return F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda q, n=n: without(n, q)) for n in lengths])
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    return F.concat(F.transform(every, lambda q: without(lengths[0], q)), F.transform(every, lambda q: without(lengths[1], q)))
 
 
 def _sharing(rows: DataFrame, sectors: Column) -> DataFrame:
