@@ -15,7 +15,9 @@ _SPACE = r"(?U)\s+"
 
 
 def text(c: Column | str) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    if isinstance(c, str):
+        c = F.col(c) if c else F.lit("")
+    return F.coalesce(c, F.lit(""))
 
 
 def squeeze(c: Column) -> Column:

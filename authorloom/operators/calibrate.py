@@ -25,7 +25,7 @@ def positive_pairs(mentions: DataFrame, most: int = 20) -> DataFrame:
     """
     rows = mentions.select("mention_id", F.trim(T.text("orcid")).alias("orcid")).where("orcid <> ''").withColumn("h", F.md5("mention_id"))
     later = F.collect_list("mention_id").over(Window.partitionBy("orcid").orderBy("h", "mention_id").rowsBetween(1, most))
-    return rows.select(F.col("mention_id").alias("a"), F.explode(later).alias("b"))
+    return rows.select(F.col("mention_id").alias("a"), later.alias("later")).select("a", F.explode("later").alias("b"))
 
 
 def negative_pairs(mentions: DataFrame, n: int = 10_000, seed: str = "42") -> DataFrame:

@@ -47,7 +47,7 @@ MENTION = """m0 AS (
     JOIN nation ON s_nationkey = n_nationkey JOIN orders ON l_orderkey = o_orderkey),
 m1 AS (SELECT *, firstname || ' ' || lastname AS raw_name FROM m0),
 everyone AS (SELECT doi, list_sort(list_distinct(list(raw_name))) AS names FROM m1 GROUP BY doi),
-mention AS (SELECT m1.*, list_filter(names, x -> x <> raw_name) AS coauthors FROM m1 JOIN everyone USING (doi))"""
+mention AS (SELECT m1.*, list_filter(names, lambda x: x <> raw_name) AS coauthors FROM m1 JOIN everyone USING (doi))"""
 
 
 def probes(rows: DataFrame, blind: bool = True) -> DataFrame:
@@ -79,7 +79,7 @@ ARTICLE = """article AS (
   SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '10.1/' || (doc_id % 4001) || '.' || n_chars END AS doi,
     split_part(text, chr(10), 1) AS raw_title,
     array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '),
-      w -> w <> '' AND w NOT IN ('a','an','the','of','in','on','at','to','for','with','by','from')), ' ') AS title
+      lambda w: w <> '' AND w NOT IN ('a','an','the','of','in','on','at','to','for','with','by','from')), ' ') AS title
   FROM documents)"""
 
 

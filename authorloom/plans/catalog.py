@@ -14,6 +14,7 @@ from ..operators.components import components
 from ..streaming import micro_batches
 from . import adapter as A
 from . import oracle as O
+from .catalog_grid import ACCEPTS, REJECTS
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -290,9 +291,6 @@ def _true_scores(spark, sf_dir):
     return p.select("mention_id", "true_id").join(top.select("mention_id", "score", "author_true_id"), "mention_id", "left"), a.select(F.col("seq").alias("true_id")).where("true_id % 2 = 0")
 
 
-ACCEPTS, REJECTS = (0.7025, 0.6525, 0.6025, 0.5525), (0.5025, 0.4025, 0.2025)
-
-
 def _sweep(spark, sf_dir):
     from .. import storage
 
