@@ -171,4 +171,4 @@ def script(c) -> Column:
 
 def redacted_name(c, salt: str) -> Column:
     """Hash and shape of a name."""
-    return F.struct(salted_hash(c, salt).alias("hash"), F.size(tokens(c)).alias("tokens"), F.length(text(c)).alias("length"), script(c).alias("script"), F.rlike(text(c), F.lit(r"\b[A-Z]\.$")).alias("has_initial"))
+    return F.struct(salted_hash(c, salt).alias("hash"), F.size(tokens(c)).alias("tokens"), F.length(text(c)).alias("length"), script(c).alias("script"), F.rlike(text(c), F.lit(r"(?<![\p{L}\p{N}_])[A-Z]\.$")).alias("has_initial"))

@@ -17,27 +17,28 @@ from pyspark.sql import functions as F
 from .. import storage
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) long pairs -> (node, root): one row for each node of an edge.
 
     Self loops and repeated or reversed edges change nothing; null ends are
-    ignored; no edges give no rows. ``root`` is some node of the component,
+    ignored; no edges give no rows. ``rows``: about how many edges there are at
+    most, if known. ``root`` is some node of the component,
     the same for all its nodes.
     """
     a, b = F.col("a"), F.col("b")
-    now = storage.cut(edges.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+    now = storage.cut(edges.where("a <> b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges", rows)
     steps = []
-    while not now.isEmpty():
+    while n := now.count():
         seed = F.lit(len(steps))
         both = now.union(now.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(seed, c).alias("h"), c.alias("v"))
         hooks = both.groupBy("a").agg(F.min(rank(b)).alias("m")).select(a.alias("node"), F.least(F.col("m"), rank(a))["v"].alias("to"))
-        hooks = storage.cut(hooks, "hooks")
+        hooks = storage.cut(hooks, "hooks", 2 * n)
         steps.append(hooks)
         left = hooks.select(F.col("node").alias("a"), F.col("to").alias("x"))
         right = hooks.select(F.col("node").alias("b"), F.col("to").alias("y"))
         new = now.join(left, "a").join(right, "b").where("x <> y")
-        new = storage.cut(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        new = storage.cut(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", n)
         storage.discard(now)
         now = new
     if not steps:

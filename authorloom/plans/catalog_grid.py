@@ -1,3 +1,3 @@
 """Threshold pairs of the registered sweeps."""
 
-ACCEPTS, REJECTS = (0.7025, 0.6525, 0.6025, 0.5525), (0.5025, 0.4025, 0.2025)
+ACCEPTS, REJECTS = (0.71571, 0.71271, 0.70971, 0.70671), (0.70531, 0.70331, 0.50251)

@@ -56,7 +56,7 @@ FROM customer"""
 SCRIPTS = f"""WITH words AS (SELECT DISTINCT unnest({_tokens("split_part(text, chr(10), 1)")}) AS w FROM documents),
 n AS (SELECT w, length(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(w, '[^А-Яа-я]', '', 'g')) AS c, length(regexp_replace(w, '[^一-鿿]', '', 'g')) AS j FROM words)
 SELECT w, CASE WHEN l + c + j = 0 THEN 'other' WHEN l / (l + c + j) > 0.7 THEN 'latin' WHEN c / (l + c + j) > 0.7 THEN 'cyrillic' WHEN j / (l + c + j) > 0.7 THEN 'cjk' ELSE 'mixed' END AS script,
-  substr(sha256(w || '||salt'), 1, 16) AS hash, 1 AS tokens, length(w) AS length, regexp_matches(w, '\\b[A-Z]\\.$') AS has_initial FROM n"""
+  substr(sha256(w || '||salt'), 1, 16) AS hash, 1 AS tokens, length(w) AS length, regexp_matches(w, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]\\.$') AS has_initial FROM n"""
 
 _IN = lambda names: "(" + ",".join(f"'{x}'" for x in names) + ")"
 CN_PREDICATES = f"""WITH {CHINESE},
@@ -75,7 +75,6 @@ def _jaccard(a: str, b: str, empty: str) -> str:
 
 _NAME_PAIRS = f"{M}, n AS (SELECT DISTINCT raw_name, firstname FROM mention), p AS (SELECT x.raw_name AS a, y.raw_name AS b FROM n x JOIN n y USING (firstname) WHERE x.raw_name < y.raw_name)"
 NAME_SIMILARITY = f"{_NAME_PAIRS} SELECT a, b, round({_LEV('a', 'b')}, 6) AS similarity, round({_jaccard("string_split(a, ' ')", "string_split(b, ' ')", '1.0')}, 6) AS token_ratio FROM p"
-JARO_WINKLER = f"{_NAME_PAIRS} SELECT a, b, jw FROM (SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM p) WHERE jw >= 0.82"
 JACCARD = f"{MA} SELECT mention_id, round({_jaccard('m.coauthors', 'a.coauthors', '1.0')}, 6) AS jaccard FROM mention m JOIN author a ON a.seq = m.person"
 
 _FINI = "'fini:' || lastname || '_' || left(firstname, 1)"
@@ -164,12 +163,12 @@ _BEST = "best AS (SELECT * FROM cmp QUALIFY row_number() OVER (PARTITION BY ment
 BEST_MATCH = f"{_compared(True)}, {_BEST} SELECT mention_id, author_id, round(score, 6) AS score FROM best"
 _FS = " + ".join(f"CASE {f}_bin {' '.join(f'''WHEN '{b}' THEN {log_ratio(*mu)!r}::DOUBLE''' for b, mu in MU[f].items())} ELSE 0 END" for f in ("name", "orcid", "coauthor", "journal", "affiliation"))
 BEST_FS = f"{_compared(False)} SELECT mention_id, round(max({_FS}), 6) AS score FROM cmp GROUP BY mention_id"
-TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, round(score, 6) AS score FROM cmp QUALIFY rank <= 5"
+TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, round(score, 4) AS score FROM cmp QUALIFY rank <= 5"
 _KIND = lambda accept, reject: f"CASE WHEN score IS NULL THEN 'new' WHEN score >= {accept} THEN 'merge' WHEN score <= {reject} THEN 'new' ELSE 'unknown' END"
 DECISIONS = f"""{_compared(True)}, {_BEST}, n AS (SELECT mention_id, count(*) AS c FROM cmp GROUP BY mention_id),
-d AS (SELECT {_KIND(0.605, 0.455)} AS decision, coalesce(c, 0) AS c FROM mention LEFT JOIN best USING (mention_id) LEFT JOIN n USING (mention_id))
+d AS (SELECT {_KIND(0.71171, 0.70431)} AS decision, coalesce(c, 0) AS c FROM mention LEFT JOIN best USING (mention_id) LEFT JOIN n USING (mention_id))
 SELECT decision, count(*) AS mentions, sum(c)::BIGINT AS candidates, count(*) FILTER (decision = 'merge') AS merged FROM d GROUP BY decision"""
-LEGACY = f"{_compared(True, '1.0')} SELECT mention_id, round(max(score), 6) AS score, CASE WHEN max(score) >= 0.602 THEN 'merged' ELSE 'new_author' END AS decision FROM cmp GROUP BY mention_id"
+LEGACY = f"{_compared(True, '1.0')} SELECT mention_id, round(max(score), 6) AS score, CASE WHEN max(score) >= 0.71031 THEN 'merged' ELSE 'new_author' END AS decision FROM cmp GROUP BY mention_id"
 
 
 def _sweep() -> str:

@@ -35,10 +35,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
+#: Rows that a task gathers into one file, for narrow rows and for rows with a text.
+NARROW_ROWS, TEXT_ROWS = 250_000, 8_000
+
+
+def sized(df: DataFrame, rows: int, per_file: int = NARROW_ROWS) -> DataFrame:
+    """At most one partition for every ``per_file`` of the ``rows`` expected.
+
+    Keeps small results of many shuffle partitions from becoming as many small
+    files; merges partitions without a shuffle, and does nothing at scale.
+    """
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again; ``rows``: about how many it has at most."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else sized(df, rows)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
