@@ -1,82 +1,25 @@
 """Shared plumbing of the training-data operators.
 
-* ``scratch`` / ``cut``: intermediate tables are written as Parquet below the
-  folder named by ``spark.checkpoint.dir``; lineage is cut there, so a lost
-  executor costs a re-read and not a recomputation.
-* ``map_texts``: Arrow-batched mapping over (id, text) rows in bounded slices.
+``map_texts`` maps (id, text) rows in Arrow batches and bounded slices. ``cut``
+and the like come from ``storage``: intermediate tables in the shared folder.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import TEXT_ROWS, cut, delete, discard, scratch, sized
+
+__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "scratch", "ship", "sized", "map_texts", "slices", "WordIds", "worker_state"]
 
 #: Bytes of text handled at once inside a Python worker.
 SLICE_BYTES = 4 << 20
 #: Entries kept by a per-worker word cache before it is dropped.
 CACHE_WORDS = 400_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            root = current.get()
-        else:  # tests and other single-machine sessions
-            root = "file://" + tempfile.mkdtemp(prefix="authorloom-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
-    path = f"{shared_root(spark)}/authorloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more."""
-    for df in frames:
-        if path := getattr(df, "_scratch", None):
-            delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001, PERF203 - the JVM has gone first
-            return
-
-
 def slices(ids: list, texts: list, most: int = SLICE_BYTES):
     """Consecutive runs of rows whose texts hold about ``most`` characters."""
     at = held = 0
@@ -129,3 +72,14 @@ class WordIds(dict):
     def __missing__(self, word):
         self[word] = out = self.number(word)
         return out
+
+
+_held: list = [None, None]
+
+
+def worker_state(key, make):
+    """What ``make()`` gave for this key in this Python worker, kept over tasks; one key is held at a time."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]

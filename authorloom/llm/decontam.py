@@ -119,7 +119,7 @@ def _item_windows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """item_id, size, h, place, slots of all usable windows of the benchmark."""
 
     def make():
-        templates = Templates()
+        templates = common.worker_state("templates", Templates)
 
         def f(ids, texts):
             out = {c: [] for c in ("item_id", "size", "h", "place", "slots")}
@@ -155,7 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     shared = spark.sparkContext.broadcast(tables)
 
     def make():
-        templates = Templates()
+        templates = common.worker_state("templates", Templates)
         tables = {k: np.unpackbits(v).astype(bool) for k, v in shared.value.items()}
 
         def f(ids, texts):
@@ -185,4 +185,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no item contaminates; rows without a key are kept."""
     bad = contamination(docs, benchmark, key, text).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+    return common.sized(docs.join(bad, docs[key] == bad["_bad"], "left_anti"), docs.count(), common.TEXT_ROWS)

@@ -226,7 +226,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def make():
-        labeller = Labeller(shared.value)
+        labeller = common.worker_state(("lang", id(shared.value)), lambda: Labeller(shared.value))
         langs = shared.value.langs
 
         def f(ids, texts):

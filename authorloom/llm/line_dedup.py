@@ -104,17 +104,18 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     s = F.col("s")
     hashed = _lines(docs, key, text).select("doc_id", "line", F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), _sectors(s, 2).alias("halves"))
     hashed = common.cut(hashed, "lines")
-    firsts = common.cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("h1", "h2", F.struct("f.doc_id", "f.line").alias("first"), "f.halves"), "distinct")
+    n = hashed.count()
+    firsts = common.cut(hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("h1", "h2", F.struct("f.doc_id", "f.line").alias("first"), "f.halves"), "distinct", n)
     # 2. distinct lines that share a half, then all but one sector, with another
     some = firsts.join(_sharing(firsts, F.col("halves")).select("h1", "h2").distinct(), ["h1", "h2"])
     wanted = some.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h1", "h2")).alias("w"))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_t"))
     found = texts.join(wanted, "doc_id").select("doc_id", F.split("_t", "\n").alias("all"), F.explode("w").alias("w"))
     found = found.select("w.h1", "w.h2", F.struct("doc_id", F.col("w.line").alias("line")).alias("first"), F.trim(F.try_element_at("all", F.col("w.line") + 1)).alias("s"))
-    found = common.cut(found.where((F.xxhash64("s") == F.col("h1")) & (F.xxhash64(F.lit(1), s) == F.col("h2"))).dropDuplicates(["h1", "h2"]), "found")
-    close = common.cut(found.join(_sharing(found, _sectors(s, SECTORS)), ["h1", "h2"]), "close")
+    found = common.cut(found.where((F.xxhash64("s") == F.col("h1")) & (F.xxhash64(F.lit(1), s) == F.col("h2"))).dropDuplicates(["h1", "h2"]), "found", n)
+    close = common.cut(found.join(_sharing(found, _sectors(s, SECTORS)), ["h1", "h2"]), "close", n)
     # 3. and 4. variants, their first places, and each line's earliest neighbour
-    variants = common.cut(_variants(close), "variants")
+    variants = common.cut(_variants(close), "variants", n)
     kind, first = F.col("kind"), F.col("first")
     earliest = variants.groupBy("key").agg(*[F.min(F.when(kind == k, first)).alias(f"by{k}") for k in range(3)], F.count("*").alias("n")).where("n > 1")
     other = F.when(kind == 0, F.col("by2")).when(kind == 1, F.col("by1")).otherwise(F.col("by0"))
@@ -132,7 +133,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0), kept_doc_ids: one row for each key."""
     lines = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col(text), "\n")), F.lit(0)).alias("n_lines")).groupBy("doc_id").agg(F.max("n_lines").cast("long").alias("n_lines"))
     lost = dropped_lines(docs, key, text).groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.count(F.when(F.col("near"), 1)).alias("n_near"), F.sort_array(F.collect_list("line")).alias("dropped"), F.sort_array(F.collect_set("by_doc_id")).alias("kept_doc_ids"))
-    return lines.join(lost, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "dropped", "kept_doc_ids")
+    out = lines.join(lost, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "dropped", "kept_doc_ids")
+    return common.sized(out, docs.count())
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,4 +142,5 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     lost = dropped_lines(docs, key, text).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lost"))
     joined = docs.join(lost, docs[key] == lost["_doc"], "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_lost", i))
-    return joined.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    out = joined.withColumn(text, F.when(F.col("_lost").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    return common.sized(out, docs.count(), common.TEXT_ROWS)

@@ -111,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        encoder = tokens.Encoder(tokenizer)
+        encoder = tokens.encoder_for(tokenizer)
         next_id, steps = TaskContext.get().partitionId() << 40, {}
         base = next_id
         held: list[tuple[int | None, np.ndarray, int, int]] = []  # key, ids left, their start, all ids of the document

@@ -212,7 +212,7 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS x SIZE floats and a small network
 
     def make():
-        tokens, model = Tokens(), shared.value
+        tokens, model = common.worker_state("quality", Tokens), shared.value
 
         def f(ids, texts):
             s = np.full(len(ids), 0.5) if model is None else model[1].score(pooled(tokens, texts, model[0]))
@@ -230,7 +230,7 @@ def keep(docs: DataFrame, model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        tokens, model = Tokens(), shared.value
+        tokens, model = common.worker_state("quality", Tokens), shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
             good = np.ones(len(texts), bool)

@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import common
-from .components import components
 
 SHINGLE = 3
 DISTANCE = 2
@@ -109,13 +109,13 @@ def _ring(a: Column, b: Column, start: Column) -> Column:
     return out
 
 
-def links(distinct: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp); enough of them to connect all that link."""
+def links(distinct: DataFrame, n: int, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp); enough of them to connect all that link. n: how many there are."""
     fp = F.col("fp")
     keys = F.array(*[F.struct(F.lit(k).alias("s"), _segment(fp, k).alias("v")) for k in range(len(SEGMENTS))])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.s", "k.v")
     sizes = rows.groupBy("s", "v").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = common.cut(rows.join(sizes, ["s", "v"]), "buckets")
+    dealt = common.cut(rows.join(sizes, ["s", "v"]), "buckets", len(SEGMENTS) * n)
     small = dealt.where(F.col("n") <= pair_limit)
     a, b = F.col("a"), F.col("b")
     pairs = small.select("s", "v", fp.alias("a")).join(small.select("s", "v", fp.alias("b")), ["s", "v"]).where("a < b")
@@ -136,13 +136,15 @@ def links(distinct: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: one row for each input row."""
     marked = common.cut(fingerprints(docs, key, text), "simhash")
-    distinct = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), pair_limit))
+    n = marked.count()
+    distinct = common.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", n)
+    roots = components(links(distinct.select("fp"), n, pair_limit), n)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = common.cut(named, "named")
+    named = common.cut(named, "named", n)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return common.sized(out, n)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,4 +153,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows that repeat a key are all kept or all dropped; rows without a key are kept.
     """
     dropped = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, docs[key] == dropped["doc_id"], "left_anti")
+    return common.sized(docs.join(dropped, docs[key] == dropped["doc_id"], "left_anti"), docs.count(), common.TEXT_ROWS)

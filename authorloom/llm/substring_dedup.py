@@ -124,7 +124,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     again = all_chunks.join(firsts, ["d1", "d2"]).where(place > F.col("first"))
     found = F.sort_array(F.collect_set(F.struct("start", "n", F.col("first.doc_id").alias("first"))))
     by_doc = again.groupBy("doc_id").agg(found.alias("found"))
-    return by_doc.mapInArrow(_runs, "doc_id long, spans array<struct<start:int,end:int>>, first_doc_ids array<long>, repeated_bytes long")
+    return common.sized(by_doc, docs.count(), common.TEXT_ROWS).mapInArrow(_runs, "doc_id long, spans array<struct<start:int,end:int>>, first_doc_ids array<long>, repeated_bytes long")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,4 +137,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept = F.zip_with(ends, starts, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8"))
     joined = docs.join(spans, docs[key] == spans["_doc"], "left")
     new = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn(text, new).select(*docs.columns)
+    return common.sized(joined.withColumn(text, new).select(*docs.columns), docs.count(), common.TEXT_ROWS)

@@ -103,6 +103,11 @@ class Encoder:
         return [b"".join(map(get, c)) if c is not None else self._raw([x])[0] if x else b"" for c, x in zip(chunks, texts, strict=True)]
 
 
+def encoder_for(path: str) -> Encoder:
+    """This Python worker's encoder: its cache outlasts a task."""
+    return common.worker_state(("encoder", path), lambda: Encoder(path))
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
 
@@ -240,7 +245,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
     rows = rows.sortWithinPartitions("k", F.xxhash64("t"))
 
     def run(batches):
-        encoder, system, root = Encoder(tokenizer), *pafs.FileSystem.from_uri(folder)
+        encoder, system, root = encoder_for(tokenizer), *pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         part, seq, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
