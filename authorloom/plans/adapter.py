@@ -20,7 +20,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mention_id, seq, doi, raw_name, firstname, lastname, orcid, affiliation, venue, year, coauthors, person."""
     t = lambda n: read(spark, sf_dir, n)
     joined = (
-        t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("l_quantity"))
         .join(t("part").select("p_partkey", "p_name", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
         .join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -28,7 +28,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first, last = F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.translate(F.col("p_size").cast("string"), "0123456789", "abcdefghij"))
     rows = joined.select(
-        F.substring(F.md5(F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])), 1, 12).alias("mention_id"),
+        F.substring(F.md5(F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")])), 1, 12).alias("mention_id"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("long").alias("seq"), F.col("l_orderkey").cast("string").alias("doi"), F.concat(first, F.lit(" "), last).alias("raw_name"), first.alias("firstname"), last.alias("lastname"),
         F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("0000-"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))).alias("orcid"),
         F.col("n_name").alias("affiliation"), F.col("p_brand").alias("venue"), F.year("o_orderdate").alias("year"), F.col("l_partkey").alias("person"))
@@ -37,7 +37,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MENTION = """m0 AS (
-  SELECT substr(md5(concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 12) AS mention_id,
+  SELECT substr(md5(concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT))), 1, 12) AS mention_id,
     CAST(l_orderkey * 100 + l_linenumber AS BIGINT) AS seq, CAST(l_orderkey AS VARCHAR) AS doi,
     split_part(p_name, ' ', 1) AS firstname,
     split_part(p_name, ' ', 2) || translate(CAST(p_size AS VARCHAR), '0123456789', 'abcdefghij') AS lastname,
