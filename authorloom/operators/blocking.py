@@ -27,22 +27,27 @@ def author_keys(authors: DataFrame, with_journals: bool = True) -> DataFrame:
     return authors.select("author_id", "seq", F.explode(F.array_distinct(F.array_compact(F.concat(*keys)))).alias("key"))
 
 
-def mention_keys(mentions: DataFrame) -> DataFrame:
-    """mention_id, key: the probed keys (ORCID, surname, surname with initial, first affiliation)."""
+def probed_keys() -> Column:
+    """A mention's probed keys, sorted: ORCID, surname, surname with initial, first affiliation."""
     name = F.col("name")
     affiliation = F.coalesce(F.try_element_at("affiliations", F.lit(1)), F.lit(""))
     keys = F.array(_key("orcid", T.clean_orcid("orcid")), _key("surname", F.lower(T.surname(name))), _key("surname_init", T.surname_initial(name)), _key("affil", T.block_string(affiliation)))
-    return mentions.select("mention_id", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+    return F.array_sort(F.array_distinct(F.array_compact(keys)))
 
 
-def candidates(mentions: DataFrame, authors: DataFrame, most: int = MAX_CANDIDATES, affiliation_bucket: int = AFFILIATION_BUCKET) -> DataFrame:
-    """mention_id, author_id: the first ``most`` by author_id of all authors that share a probed key.
+def mention_keys(mentions: DataFrame) -> DataFrame:
+    """mention_id, key."""
+    return mentions.select("mention_id", F.explode(probed_keys()).alias("key"))
+
+
+def candidate_lists(mentions: DataFrame, authors: DataFrame, most: int = MAX_CANDIDATES, affiliation_bucket: int = AFFILIATION_BUCKET) -> DataFrame:
+    """mention_id (one row each), ids: the first ``most`` by author_id of all authors that share a probed key.
 
     A key's authors beyond the first ``most`` by id can never be among a
     mention's, so each key is cut before the join (affiliation keys to their
     first ``affiliation_bucket`` by insertion first): a hot key costs a
-    mention no more than ``most`` rows. Mentions with equal key sets share one
-    lookup.
+    mention no more than ``most`` ids. Mentions with equal key sets share one
+    lookup. Mentions without a candidate have no row.
     """
     keys = author_keys(authors, with_journals=False)
     is_affil = F.col("key").startswith("affil:")
@@ -50,13 +55,16 @@ def candidates(mentions: DataFrame, authors: DataFrame, most: int = MAX_CANDIDAT
     by_id = Window.partitionBy("key").orderBy("author_id")
     affil = keys.where(is_affil).withColumn("r", F.row_number().over(by_seq)).where(F.col("r") <= affiliation_bucket)
     rest = keys.where(~is_affil).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= most)
-    capped = affil.union(rest).select("author_id", "key")
-    sets = mention_keys(mentions).groupBy("mention_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    lookups = sets.select("keys").distinct()
-    met = lookups.select("keys", F.explode("keys").alias("key")).join(capped, "key").select("keys", "author_id").distinct()
-    per_set = Window.partitionBy("keys").orderBy("author_id")
-    found = met.withColumn("r", F.row_number().over(per_set)).where(F.col("r") <= most).groupBy("keys").agg(F.array_sort(F.collect_list("author_id")).alias("ids"))
-    return sets.join(found, "keys").select("mention_id", F.explode("ids").alias("author_id"))
+    capped = affil.union(rest).groupBy("key").agg(F.collect_list("author_id").alias("ids"))  # at most ``most`` a key
+    sets = mentions.select("mention_id", probed_keys().alias("keys"))
+    met = sets.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(capped, "key")
+    found = met.groupBy("keys").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))  # four keys a set
+    return sets.join(found, "keys").select("mention_id", "ids")
+
+
+def candidates(mentions: DataFrame, authors: DataFrame, most: int = MAX_CANDIDATES, affiliation_bucket: int = AFFILIATION_BUCKET) -> DataFrame:
+    """mention_id, author_id pairs of ``candidate_lists``."""
+    return candidate_lists(mentions, authors, most, affiliation_bucket).select("mention_id", F.explode("ids").alias("author_id"))
 
 
 def reported_keys(name, orcid) -> Column:

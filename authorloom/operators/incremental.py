@@ -168,7 +168,7 @@ def snapshot(mentions: DataFrame, authors: DataFrame, mode: str = "baseline", ac
     """Decisions of a batch of mentions against a fixed author table: the scalable step of incremental processing."""
     from . import scoring
 
-    pairs = scoring.pairs_of(mentions, authors, blocking.candidates(mentions, authors))
+    pairs = scoring.pairs_of(mentions, authors, blocking.candidate_lists(mentions, authors))
     scores = scoring.scored(scoring.compare(pairs), mode)
     return scoring.decide(mentions, scores, accept, reject)
 

@@ -58,8 +58,8 @@ def configured_bin(sim: Column, bins: list[dict]) -> Column:
 
 
 def _with_overlaps(pairs: DataFrame, sets: tuple[str, ...] = ("coauthors", "journals")) -> DataFrame:
-    """Sizes of common parts in a projection of their own, so that each intersection is computed once."""
-    return pairs.select("*", *[F.size(F.array_intersect(f"m_{c}", f"a_{c}")).alias(f"_{c}") for c in sets])
+    """Sizes of common parts in a projection of their own, so that each intersection is computed once; the smaller side is hashed."""
+    return pairs.select("*", *[F.size(F.array_intersect(f"a_{c}", f"m_{c}")).alias(f"_{c}") for c in sets])
 
 
 def _jaccard(c: str, both_empty: float) -> Column:
@@ -160,9 +160,14 @@ def legacy_decision(score: Column, threshold: float = SIMILARITY_THRESHOLD) -> C
     return F.when(score >= threshold, "merged").otherwise("new_author")
 
 
-def pairs_of(mentions: DataFrame, authors: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate pairs with both sides' prepared features."""
+def pairs_of(mentions: DataFrame, authors: DataFrame, lists: DataFrame) -> DataFrame:
+    """Candidate pairs with both sides' prepared features, from (mention_id, ids).
+
+    Features join the lists before these are spread, so pairs are shuffled once:
+    mentions' few features travel to the authors' many, which are hashed by
+    their unique id, and only scores travel on.
+    """
     m = prepare(mentions, "m", "mention_id")
     a = prepare(authors.withColumnRenamed("canonical_name", "name"), "a", "author_id")
-    # mentions' few features travel to the authors' many, and only scores travel on
-    return candidates.join(m, "mention_id").join(a, "author_id")
+    spread = m.join(lists, "mention_id").select(*m.columns, F.explode("ids").alias("author_id"))
+    return spread.join(a.hint("shuffle_hash"), "author_id")

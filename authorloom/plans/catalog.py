@@ -232,14 +232,14 @@ def blocking_key_stats(spark, sf_dir):
 @query(O.CANDIDATES)
 def blocking_candidates(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
-    found = blocking.candidates(A.probes(m, blind=False), A.authors(m))
-    return found.groupBy("mention_id").agg(F.count("*").alias("n"), F.min("author_id").alias("first"), F.max("author_id").alias("last"))
+    found = blocking.candidate_lists(A.probes(m, blind=False), A.authors(m))
+    return found.select("mention_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"))
 
 
 def _compared(spark, sf_dir, blind=True):
     m = A.mentions(spark, sf_dir)
     p, a = A.probes(m, blind), A.authors(m)
-    return p, a, scoring.compare(scoring.pairs_of(p, a, blocking.candidates(p, a)))
+    return p, a, scoring.compare(scoring.pairs_of(p, a, blocking.candidate_lists(p, a)))
 
 
 @query(O.COMPARISONS)
@@ -280,7 +280,7 @@ def three_way_decision(spark, sf_dir):
 def legacy_decision(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
     p, a = A.probes(m), A.authors(m)
-    scores = scoring.pairs_of(p, a, blocking.candidates(p, a)).select("mention_id", "author_id", scoring.legacy_similarity().alias("score"))
+    scores = scoring.pairs_of(p, a, blocking.candidate_lists(p, a)).select("mention_id", "author_id", scoring.legacy_similarity().alias("score"))
     top = scores.groupBy("mention_id").agg(F.max("score").alias("score"))
     return top.select("mention_id", F.round("score", 6).alias("score"), scoring.legacy_decision(F.col("score"), 0.71031).alias("decision"))
 

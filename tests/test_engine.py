@@ -27,6 +27,11 @@ def probes(spark, *rows):
     return spark.createDataFrame([(f"m{i}", i, *r) for i, r in enumerate(rows)], PROBE)
 
 
+def every(mentions, authors):
+    """All authors as each mention's candidates."""
+    return mentions.select("mention_id").crossJoin(authors.agg(F.collect_list("author_id").alias("ids")))
+
+
 # ---- blocking ----------------------------------------------------------------
 
 def test_blocking(spark):
@@ -50,7 +55,7 @@ def test_blocking(spark):
 
 def test_three_layers(spark, john):
     ms = probes(spark, ("J. Smith", "0000-0001-2345-6789", ["Alice Brown"], ["Nature"], ["Harvard University"]), ("Alice Wang", "", ["David Lee"], ["Cell"], ["Stanford University"]))
-    pairs = scoring.pairs_of(ms, john, ms.select("mention_id").crossJoin(john.select("author_id")))
+    pairs = scoring.pairs_of(ms, john, every(ms, john))
     c = scoring.compare(pairs)
     got = {r["mention_id"]: r for r in c.select("*", scoring.weighted().alias("base"), scoring.fellegi_sunter().alias("fs")).collect()}
     a = got["m0"]
@@ -58,15 +63,15 @@ def test_three_layers(spark, john):
     assert (a["base"], a["fs"]) == (pytest.approx(0.60), pytest.approx(16.196056, abs=1e-6))
     assert got["m1"]["base"] == 0 and got["m1"]["affiliation_sim"] == pytest.approx(0.615385, abs=1e-6) and got["m1"]["fs"] == pytest.approx(-7.293018, abs=1e-6)
     bare = probes(spark, ("John Smith", "", [], [], []))
-    fs = scoring.compare(scoring.pairs_of(bare, john, bare.select("mention_id").crossJoin(john.select("author_id")))).select(scoring.fellegi_sunter()).first()[0]
+    fs = scoring.compare(scoring.pairs_of(bare, john, every(bare, john))).select(scoring.fellegi_sunter()).first()[0]
     assert fs == pytest.approx(-1.668699, abs=1e-6)
-    legacy = scoring.pairs_of(bare, john.withColumns({"coauthors": F.array().cast("array<string>"), "journals": F.array().cast("array<string>")}), bare.select("mention_id").crossJoin(john.select("author_id")))
+    legacy = scoring.pairs_of(bare, john.withColumns({"coauthors": F.array().cast("array<string>"), "journals": F.array().cast("array<string>")}), every(bare, john))
     assert legacy.select(scoring.legacy_similarity()).first()[0] == 1.0
 
 
 def test_three_way_goldens(spark, john):
     ms = probes(spark, ("John Smith", "0000-0001-2345-6789", ["Alice Brown", "Bob Wilson"], ["Nature", "Science"], []), ("Robert Johnson", "", [], [], []), ("J. A. Smith", "", ["Alice Brown", "X", "Y"], ["Other"], ["Harvard Medical School"]))
-    scores = scoring.scored(scoring.compare(scoring.pairs_of(ms, john, blocking.candidates(ms, john))))
+    scores = scoring.scored(scoring.compare(scoring.pairs_of(ms, john, blocking.candidate_lists(ms, john))))
     d = {r["mention_id"]: r for r in scoring.decide(ms, scores, 0.7, 0.2).collect()}
     assert [d[f"m{i}"]["decision"] for i in range(3)] == ["merge", "new", "unknown"]
     assert d["m0"]["best_author_id"] == "au_1" and d["m2"]["best_author_id"] is None and d["m1"]["candidate_count"] == 0
