@@ -171,3 +171,18 @@ def pairs_of(mentions: DataFrame, authors: DataFrame, lists: DataFrame) -> DataF
     a = prepare(authors.withColumnRenamed("canonical_name", "name"), "a", "author_id")
     spread = m.join(lists, "mention_id").select(*m.columns, F.explode("ids").alias("author_id"))
     return spread.join(a.hint("shuffle_hash"), "author_id")
+
+
+def legacy_report(weights: dict[str, float] = WEIGHTS, threshold: float = SIMILARITY_THRESHOLD) -> Column:
+    """A text report of a legacy decision over compared pairs with a score."""
+    sims = {"name": "name_sim", "coauthors": "coauthor_sim", "journals": "journal_sim"}
+    lines = [F.format_string("Record %s against author %s", "mention_id", "author_id")]
+    lines += [F.format_string(f"  {k}: %.3f (weight {w:.1f})", sims[k]) for k, w in weights.items() if w > 0 and k in sims]
+    lines.append(F.format_string(f"Total %.3f, threshold {threshold:.2f}: %s", "score", legacy_decision(F.col("score"), threshold)))
+    return F.concat_ws("\n", *lines)
+
+
+def decision_stats(decisions: DataFrame) -> DataFrame:
+    """processed, merged, new, unknown, mean_score, candidates: one row."""
+    of = lambda k: F.count_if(F.col("decision") == k).alias({"merge": "merged"}.get(k, k))
+    return decisions.agg(F.count("*").alias("processed"), of("merge"), of("new"), of("unknown"), F.avg("score_total").alias("mean_score"), F.sum("candidate_count").alias("candidates"))

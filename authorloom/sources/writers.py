@@ -40,3 +40,13 @@ def engine_state(authors: DataFrame, statistics: DataFrame, graph: DataFrame) ->
     """Authors, statistics and graph rows as JSON strings (part, document)."""
     part = lambda name, df: df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("document"))
     return part("author", authors).union(part("statistics", statistics)).union(part("graph", graph))
+
+
+def svg_curve(points: list[tuple[float, float]], title: str, x: str = "recall", y: str = "precision", size: int = 400) -> str:
+    """An HTML page with one curve over [0, 1] x [0, 1]; the points of a sweep are few."""
+    at = lambda p: f"{40 + p[0] * size:.1f},{20 + (1 - p[1]) * size:.1f}"
+    ticks = "".join(f'<text x="{40 + t * size / 4:.0f}" y="{size + 36}" font-size="10">{t / 4:.2f}</text><text x="4" y="{24 + (4 - t) * size / 4:.0f}" font-size="10">{t / 4:.2f}</text>' for t in range(5))
+    dots = "".join(f'<circle cx="{at(p).split(",")[0]}" cy="{at(p).split(",")[1]}" r="3"/>' for p in points)
+    frame = f'<rect x="40" y="20" width="{size}" height="{size}" fill="none" stroke="#888"/>'
+    line = f'<polyline fill="none" stroke="#336" points="{" ".join(map(at, sorted(points)))}"/>'
+    return f'<!DOCTYPE html><title>{title}</title><h1>{title}</h1><svg width="{size + 80}" height="{size + 60}">{frame}{line}{dots}{ticks}<text x="{size // 2}" y="{size + 52}">{x}</text><text x="44" y="14">{y}</text></svg>'
