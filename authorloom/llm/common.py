@@ -6,17 +6,21 @@ and the like come from ``storage``: intermediate tables in the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..storage import TEXT_ROWS, cut, delete, discard, scratch, sized
 
-__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "scratch", "ship", "sized", "map_texts", "slices", "WordIds", "worker_state"]
+__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "scratch", "ship", "sized", "map_texts", "slices", "spans", "WordIds", "worker_state"]
 
-#: Bytes of text handled at once inside a Python worker.
-SLICE_BYTES = 4 << 20
+#: Characters of text handled at once inside a Python worker; arrays made of them hold some hundred times as many bytes.
+SLICE_BYTES = 1 << 20
+#: Bytes of text encoded at once; more repeat more words.
+SPAN_BYTES = 8 << 20
 #: Entries kept by a per-worker word cache before it is dropped.
 CACHE_WORDS = 400_000
 
@@ -32,6 +36,17 @@ def slices(ids: list, texts: list, most: int = SLICE_BYTES):
         yield ids[at:], texts[at:]
 
 
+def spans(texts: pa.Array, most: int = SPAN_BYTES):
+    """(first row, rows) of consecutive runs of about ``most`` bytes of an Arrow string column."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, upto - at
+        at = upto
+
+
 def map_texts(df: DataFrame, make, schema: str, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """Map rows through ``make()``, called once a task.
 

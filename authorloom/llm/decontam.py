@@ -39,6 +39,7 @@ NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros percent degree degrees mph kmh hz khz mhz ghz w kw v °c °f % $ € £".split())
 PLAIN_KIND, NUM, NAME, UNIT, SKIP = 0, 1, 2, 3, 4
 _EDGE = re.compile(r"^[^\w%$€£°]+|[^\w%$€£°]+$")
+_STOPS = frozenset(".!?:")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,29 +59,30 @@ class Templates:
 
     def clear(self):
         self.ids = common.WordIds(self._number)
-        self.hash, self.kind, self.capital, self.ends = [], [], [], []
+        self.tables = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, bool)
+        self.new: list[tuple[int, int, bool, bool]] = []
 
     def _number(self, word: str) -> int:
-        core = _EDGE.sub("", word)
+        core = word[:-1] if word[-1] in ".," else word
+        if not core.isalpha():
+            core = _EDGE.sub("", word)
         low = core.lower()
-        digits = any(x.isdigit() for x in core)
-        kind = SKIP if not any(x.isalnum() or x in "%$€£°" for x in core) else NUM if digits or low in NUMBER_WORDS else UNIT if low in UNITS else PLAIN_KIND
-        self.hash.append(_hash(low))
-        self.kind.append(kind)
-        self.capital.append(core[:1].isupper() and core[1:].islower())
-        self.ends.append(word.rstrip("\"')]»”’")[-1:] in ".!?:")
-        return len(self.hash) - 1
+        digits = not core.isalpha() and any(x.isdigit() for x in core)
+        kind = SKIP if not core.isalpha() and not any(x.isalnum() or x in "%$€£°" for x in core) else NUM if digits or low in NUMBER_WORDS else UNIT if low in UNITS else PLAIN_KIND
+        self.new.append((_hash(low), kind, core[:1].isupper() and core[1:].islower(), word.rstrip("\"')]»”’")[-1:] in _STOPS))
+        return len(self.tables[0]) + len(self.new) - 1
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token hash, value hash, kind, text number) of all tokens of the texts."""
-        if len(self.hash) > common.CACHE_WORDS:
+        if len(self.ids) > common.CACHE_WORDS:
             self.clear()
         split = [x.split() if x else [] for x in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         get = self.ids.__getitem__
         ids = np.concatenate([np.fromiter(map(get, w), np.int64, len(w)) for w in split]) if split else np.zeros(0, np.int64)
-        if not hasattr(self, "tables") or len(self.tables[0]) != len(self.hash):
-            self.tables = np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.capital, bool), np.array(self.ends, bool)
+        if self.new:
+            self.tables = tuple(np.concatenate([t, np.array(c, t.dtype)]) for t, c in zip(self.tables, zip(*self.new, strict=True), strict=True))
+            self.new = []
         value, kind, capital, ends = (t[ids] for t in self.tables)
         doc = np.repeat(np.arange(len(split)), counts)
         opens = np.ones(len(ids), bool)

@@ -41,13 +41,26 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
-def _number(token: str) -> int:
-    """Word row and shape row of a token, as one number."""
-    core = token.strip(_EDGE)
-    lead, tail = token[: token.find(core)] if core else token, token[token.find(core) + len(core) :] if core else ""
+def _shape(lead: str, core: str, tail: str) -> int:
     case = "n" if not core else "A" if core.isupper() and len(core) > 1 else "a" if core.islower() else "T" if core[0].isupper() and core[1:].islower() else "m"
     shape = f"{lead[-2:]}{case}{'9' if any(x.isdigit() for x in core) else ''}{'-' if core and not core.isalnum() else ''}{tail[:2]}"
-    return zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % WORDS * SHAPES + 1 + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SHAPES - 1)
+    return 1 + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % (SHAPES - 1)
+
+
+#: Shapes of most tokens: lower case or capitalised letters, alone or before a stop or comma.
+_USUAL = {(first, tail): _shape("", "Ab" if first else "ab", tail) for first in (False, True) for tail in ("", ".", ",")}
+
+
+def _number(token: str) -> int:
+    """Word row and shape row of a token, as one number."""
+    core, tail = (token[:-1], token[-1]) if token[-1] in ".," else (token, "")
+    if core.isalpha() and len(core) > 1 and core[1:].islower() and (core[0].isupper() or core[0].islower()):
+        shape = _USUAL[core[0].isupper(), tail]
+    else:
+        core = token.strip(_EDGE)
+        at = token.find(core) if core else len(token)
+        shape = _shape(token[:at], core, token[at + len(core) :])
+    return zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % WORDS * SHAPES + shape
 
 
 def index_vectors() -> np.ndarray:
