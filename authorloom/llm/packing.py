@@ -136,9 +136,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
 
         size = 0
         for batch in batches:
-            for ks, texts in common.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, raw in zip(ks, encoder.encode(texts), strict=True):
-                    ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
+            for lo, n in common.spans(batch.column(1)):
+                flat, ends = encoder.encode_array(batch.column(1).slice(lo, n))
+                at = 0
+                for k, end in zip(batch.column(0).slice(lo, n).to_pylist(), ends.tolist(), strict=True):
+                    ids = np.append(flat[at:end], np.uint32(end_id))
+                    at = end
                     held.append((k, ids, 0, len(ids)))
                     size += len(ids)
                 if size >= buffer_ids:

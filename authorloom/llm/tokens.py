@@ -1,10 +1,9 @@
 """Encoding with a public tokenizer file, and a keyed store of raw token ids.
 
-``Encoder`` encodes white-space separated chunks once and joins their ids; for
-the tokenizer used here (white space dropped, no token across it) that equals
-encoding the whole text. Texts with anything for which that might not hold
-(special tokens' strings, separators that libraries class differently) are
-encoded whole.
+``Encoder`` encodes chunks between ASCII white space once and joins their ids;
+for the tokenizer used here (white space dropped, no token across it) that
+equals encoding the whole text: other white space, special tokens' strings and
+what else there is stay inside a chunk.
 
 The store (``write_store``) keeps raw ids in shards of ascending document
 keys. A shard file is
@@ -34,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,10 +46,10 @@ END_ID = 2
 #: Ids after which a task begins another shard.
 SHARD_IDS = 16_000_000
 #: Chunks whose ids a worker keeps (about 170 bytes each).
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 900_000
+#: Ids that a task reads back.
+READ_IDS = 16_000_000
 MAGIC = b"ALSHARD1"
-#: What makes a text be encoded whole.
-WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -66,19 +66,19 @@ class _Seen(dict):
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes."""
+    """Texts to ids; keeps the ids of chunks as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
-        self.seen = _Seen()
+        self.seen = _Seen({"": b""})
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x)}I", *x) for x in (e.ids for e in got)]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         seen, need = self.seen, {}
         for c in chunks:
             core = c[:-1]
@@ -92,15 +92,31 @@ class Encoder:
         names = list(need)
         seen.update(zip(names, self._raw(names), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.seen) > CACHE_CHUNKS:
-            self.seen = _Seen()
-        chunks = [None if not x or any(w in x for w in WHOLE) else x.split() for x in texts]
-        missing = set().union(*(c for c in chunks if c)).difference(self.seen)
-        if missing:
-            self._learn(missing)
-        get = self.seen.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._raw([x])[0] if x else b"" for c, x in zip(chunks, texts, strict=True)]
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's end."""
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        parts = list(map(self.seen.get, names))
+        gaps = [i for i, p in enumerate(parts) if p is None]
+        self._learn([names[i] for i in gaps])
+        for i in gaps:
+            parts[i] = self.seen[names[i]]
+        if len(self.seen) > CACHE_CHUNKS:  # keep what these texts use
+            self.seen = _Seen({"": b""} | {n: p for n, p in zip(names, parts, strict=True) if n in self.seen})
+        pool = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((start[codes] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        words = np.cumsum(pc.list_value_length(chunks).fill_null(0).to_numpy(zero_copy_only=False))
+        return ids, np.concatenate([[0], ends])[words]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, ends = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, ends[:-1]) if len(texts) else []
 
 
 def encoder_for(path: str) -> Encoder:
@@ -241,11 +257,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
     shard at a time. Manifest: path, base (ids in earlier shards), n_docs, n_ids.
     """
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k", F.xxhash64("t"))
     rows = rows.sortWithinPartitions("k", F.xxhash64("t"))
 
     def run(batches):
         encoder, system, root = encoder_for(tokenizer), *pafs.FileSystem.from_uri(folder)
+        kind = np.uint16 if encoder.vocab <= 1 << 16 else np.uint32
         system.create_dir(root, recursive=True)
         part, seq, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -256,9 +273,12 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_docs": [len(keys)], "n_ids": [held]}, schema=arrow)
 
         for batch in batches:
-            for some, texts in common.slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, raw in zip(some, encoder.encode(texts), strict=True):
-                    x = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)).astype(np.uint16 if encoder.vocab <= 1 << 16 else np.uint32)
+            for lo, n in common.spans(batch.column(1)):
+                flat, ends = encoder.encode_array(batch.column(1).slice(lo, n))
+                flat, at = flat.astype(kind), 0
+                for k, end in zip(batch.column(0).slice(lo, n).to_pylist(), ends.tolist(), strict=True):
+                    x = np.append(flat[at:end], kind(end_id))
+                    at = end
                     keys.append(k)
                     ids.append(x)
                     held += len(x)
@@ -269,7 +289,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
             yield flush()
 
     arrow = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    written = common.cut(rows.mapInArrow(run, "part long, seq long, name string, n_docs long, n_ids long"), "shards")
+    written = rows.mapInArrow(run, "part long, seq long, name string, n_docs long, n_ids long")
+    written = common.cut(written.repartition(1), "shards")  # a row for each shard
     manifest, base = [], 0
     for r in written.orderBy("part", "seq").collect():  # one row for each shard of SHARD_IDS ids
         manifest.append({"path": f"{folder}/{r['name']}", "base": base, "n_docs": r["n_docs"], "n_ids": r["n_ids"]})
@@ -284,7 +305,8 @@ def read_store(spark, manifest: list[dict], with_ids: bool = False) -> DataFrame
     common.ship(spark)
     if not manifest:
         return spark.createDataFrame([], schema)
-    shards = spark.createDataFrame([(m["path"], m["base"]) for m in manifest], "path string, base long").repartition(len(manifest))
+    tasks = min(len(manifest), -(-sum(m["n_ids"] for m in manifest) // READ_IDS))
+    shards = spark.createDataFrame([(m["path"], m["base"]) for m in manifest], "path string, base long").repartition(tasks)
 
     def run(batches):
         for batch in batches:

@@ -178,14 +178,14 @@ def plain_ids(text):
     return _T.encode(text or "", add_special_tokens=False).ids
 
 
-TRICKY = ["It's l'été, don't! we'll.", "Σας. ΑΣ. ", "a<|endoftext|>b <|startoftext|>", "x\x1cy\x1fz ᠎", "é., a.. b,. .", "가. é. ½,", "İstanbul. ǅ.", "a b c", ""]
+TRICKY = ["  lead  and trail \n\n", "nb\xa0sp \u2003 em\x85x \u2028.", "It's l'été, don't! we'll.", "Σας. ΑΣ. ", "a<|endoftext|>b <|startoftext|>", "x\x1cy\x1fz ᠎", "é., a.. b,. .", "가. é. ½,", "İstanbul. ǅ.", "a b c", ""]
 
 
 def test_encoder_equals_the_tokenizer():
     e = tokens.Encoder(tokens.tokenizer_path())
     for _ in range(2):  # with a cold and a warm cache
         for text, raw in zip(TRICKY, e.encode(TRICKY), strict=True):
-            assert np.frombuffer(raw, "<u4").tolist() == plain_ids(text)
+            assert raw.tolist() == plain_ids(text)
 
 
 def test_perfect_hash_is_minimal_and_rejects():
