@@ -214,13 +214,14 @@ def edit_study(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_p
         at = np.searchsorted(bounds, k.fillna(0).to_numpy(np.int64), "left")
         return pd.Series(np.where(k.isna(), -1, at))
 
-    heads = {r["p"]: (r["k"], r["nulls"]) for r in rows.select("k").groupBy(part_of("k").alias("p")).agg(F.min("k").alias("k"), F.count(F.when(F.col("k").isNull(), 1)).alias("nulls")).collect()}  # a row for each range
+    ranges = rows.select("k").groupBy(part_of("k").alias("p")).agg(F.min("k").alias("k"), F.count("*").alias("n")).collect()  # a row for each range
+    heads, total = {r["p"]: r["k"] for r in ranges}, sum(r["n"] for r in ranges)
     used = sorted(heads)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not used:
         return spark.createDataFrame([], schema)
     # the first key of a part -> the part before it, which it also ends
-    before = [(heads[p][0], used[i - 1]) for i, p in enumerate(used)]
+    before = [(heads[p], used[i - 1]) for i, p in enumerate(used)]
     known = dict((k, p) for k, p in before if k is not None)
     keys = np.array(sorted(known), np.int64)
     ends = np.array([known[k] for k in keys.tolist()], np.int64)
@@ -240,5 +241,5 @@ def edit_study(docs: DataFrame, key: str = "doc_id", text: str = "text", parts_p
 
     dealt = rows.select("k", "t", F.explode(parts("k")).alias("x")).select(F.col("x.p").alias("p"), "k", "t", F.col("x.ends").alias("e"))
     # within a part: its own rows in order, then what ends it
-    dealt = dealt.repartition("p").sortWithinPartitions("p", "e", F.col("k").asc_nulls_first(), F.xxhash64("t"))
+    dealt = common.sized(dealt.repartition("p"), total, common.TEXT_ROWS // 2).sortWithinPartitions("p", "e", F.col("k").asc_nulls_first(), F.xxhash64("t"))
     return dealt.mapInArrow(_compare, schema)
