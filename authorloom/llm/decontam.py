@@ -181,7 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     sound = lines.where(one_to_one).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"), F.max(F.size("places")).alias("run"))
     sizes = items.groupBy("item_id").agg(F.countDistinct("place").alias("of"))
     share = F.col("n_windows") / F.col("of")
-    return sound.join(sizes, "item_id").where((share >= SHARE) | (F.col("run") >= RUN)).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), share.alias("share"), F.col("run").cast("long").alias("run"))
+    out = sound.join(sizes, "item_id").where((share >= SHARE) | (F.col("run") >= RUN)).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), share.alias("share"), F.col("run").cast("long").alias("run"))
+    return common.sized(out, docs.count())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
