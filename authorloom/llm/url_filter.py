@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized
+
 BUCKET_DAYS = 32
 #: Suffixes of a host and prefixes of a path are all tried; these bound only the parsing pattern.
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -73,4 +75,5 @@ def filter_urls(captures: DataFrame, events: DataFrame, key: str = "page_id", ur
     found = matches(captures, events, key, url, ts).groupBy(F.col(key).alias("_k")).agg(
         F.min("action").alias("_action"), F.count("*").alias("_n"), F.min(F.struct("action", "list", "pattern")).alias("_m"))  # "allow" sorts before "block"
     rows = captures.select(F.col(key).alias(key), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"))
-    return rows.join(found, rows[key] == found["_k"], "left").select(key, "host", F.coalesce("_action", F.lit("none")).alias("action"), F.coalesce("_n", F.lit(0)).alias("n_lists"), F.col("_m.pattern").alias("pattern"))
+    out = rows.join(found, rows[key] == found["_k"], "left").select(key, "host", F.coalesce("_action", F.lit("none")).alias("action"), F.coalesce("_n", F.lit(0)).alias("n_lists"), F.col("_m.pattern").alias("pattern"))
+    return sized(out, captures.count())
