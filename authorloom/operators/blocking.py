@@ -56,10 +56,12 @@ def candidate_lists(mentions: DataFrame, authors: DataFrame, most: int = MAX_CAN
     affil = keys.where(is_affil).withColumn("r", F.row_number().over(by_seq)).where(F.col("r") <= affiliation_bucket)
     rest = keys.where(~is_affil).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= most)
     capped = affil.union(rest).groupBy("key").agg(F.collect_list("author_id").alias("ids"))  # at most ``most`` a key
-    sets = mentions.select("mention_id", probed_keys().alias("keys"))
-    met = sets.select("keys").distinct().select("keys", F.explode("keys").alias("key")).join(capped, "key")
-    found = met.groupBy("keys").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))  # four keys a set
-    return sets.join(found, "keys").select("mention_id", "ids")
+    # a key set is named by 128 bits of its hash: quicker to group and join by than arrays
+    named = mentions.select("mention_id", probed_keys().alias("keys")).select("mention_id", "keys", F.xxhash64("keys").alias("s1"), F.xxhash64(F.lit(1), "keys").alias("s2"))
+    sets = named.groupBy("s1", "s2").agg(F.first("keys").alias("keys"))
+    met = sets.select("s1", "s2", F.explode("keys").alias("key")).join(capped, "key")
+    found = met.groupBy("s1", "s2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))  # four keys a set
+    return named.select("mention_id", "s1", "s2").join(found, ["s1", "s2"]).select("mention_id", "ids")
 
 
 def candidates(mentions: DataFrame, authors: DataFrame, most: int = MAX_CANDIDATES, affiliation_bucket: int = AFFILIATION_BUCKET) -> DataFrame:
