@@ -45,18 +45,18 @@ PAIR_LIMIT = 32
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def _hashes(text: str) -> list[int]:
+def _hashes(text: str, size: int = SHINGLE) -> list[int]:
     words = text.encode("utf-8", "surrogatepass").translate(_FOLD).split()  # of bytes: at 9-13 and 32 alone
     n = len(words)
     if not n:
         return []
     joined = b" ".join(words)
-    if n < SHINGLE:
+    if n < size:
         return [xxhash.xxh64_intdigest(joined, 42)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = ends - np.fromiter(map(len, words), np.int64, n) - 1
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], 42) for a, b in zip(starts[: n - SHINGLE + 1].tolist(), (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: n - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
