@@ -6,6 +6,10 @@ and the like come from ``storage``: intermediate tables in the shared folder.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import TEXT_ROWS, cut, delete, discard, scratch, sized
+from ..storage import TEXT_ROWS, cut, delete, discard, free, owned, reclaim, scratch, sized
 
-__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "scratch", "ship", "sized", "map_texts", "slices", "spans", "WordIds", "worker_state"]
+__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "free", "owned", "reclaim", "scratch", "ship", "sized", "map_texts", "slices", "spans", "unused", "WordIds", "worker_state"]
 
 #: Characters of text handled at once inside a Python worker; arrays made of them hold some hundred times as many bytes.
 SLICE_BYTES = 1 << 20
 #: Bytes of text encoded at once; more repeat more words.
-SPAN_BYTES = 8 << 20
+SPAN_BYTES = 4 << 20
 #: Entries kept by a per-worker word cache before it is dropped.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+
 
 def slices(ids: list, texts: list, most: int = SLICE_BYTES):
     """Consecutive runs of rows whose texts hold about ``most`` characters."""
@@ -89,12 +94,32 @@ class WordIds(dict):
         return out
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _held: list = [None, None]
 
 
 def worker_state(key, make):
-    """What ``make()`` gave for this key in this Python worker, kept over tasks; one key is held at a time."""
+    """What ``make()`` gave for this key in this Python worker, kept over tasks; one key is held at a time.
+
+    The memory of another key's state goes back to the system first.
+    """
     if _held[0] != key:
         _held[:] = [None, None]
+        release()
         _held[:] = [key, make()]
     return _held[1]
+
+
+def release() -> None:
+    """Give memory that nothing holds back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

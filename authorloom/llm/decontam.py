@@ -260,5 +260,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that no item contaminates; rows without a key are kept."""
-    bad = contamination(docs, benchmark, key, text).select(F.col("doc_id").alias("_bad")).distinct()
-    return common.sized(docs.join(bad, docs[key] == bad["_bad"], "left_anti"), docs.count(), common.TEXT_ROWS)
+    name = common.unused("_bad", docs)
+    bad = contamination(docs, benchmark, key, text).select(F.col("doc_id").alias(name)).distinct()
+    return common.sized(docs.join(bad, docs[key] == bad[name], "left_anti"), docs.count(), common.TEXT_ROWS)

@@ -53,8 +53,7 @@ def op3_simhash(spark, sf_dir):
 
 def op4_token_store(spark, sf_dir):
     folder = common.scratch(spark, "store")
-    manifest = tokens.write_store(_read(spark, sf_dir, "documents"), folder, tokens.tokenizer_path())
-    return tokens.read_store(spark, manifest)
+    return tokens.write_store(_read(spark, sf_dir, "documents"), folder, tokens.tokenizer_path()).documents()
 
 
 def op5_substring_dedup(spark, sf_dir):
@@ -102,11 +101,11 @@ met AS (SELECT page_id, list, action, pattern FROM keys JOIN valid USING (patter
 best AS (SELECT page_id, min(action) AS action, count(*) AS n, arg_min(pattern, action || list) AS pattern FROM met GROUP BY page_id)
 SELECT page_id, coalesce(host, '') AS host, coalesce(action, 'none') AS action, coalesce(n, 0) AS n_lists, best.pattern AS pattern FROM cap LEFT JOIN best USING (page_id)"""
 
-#: A line goes if an earlier one is equal or within one edit: some cut makes the texts before it, and those after one changed, added or lost character, equal.
+#: A line goes if an earlier one is equal or, from 16 characters on, within one edit: some cut makes the texts before it, and those after one changed, added or lost character, equal.
 OP10_SQL = """WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS line, trim(unnest(string_split(text, chr(10)))) AS s FROM documents),
-e AS (SELECT * FROM l WHERE length(s) >= 16),
+e AS (SELECT * FROM l WHERE s <> ''),
 f AS (SELECT s, min((doc_id, line)) AS first FROM e GROUP BY s),
-n AS (SELECT s, first, unnest([length(s), length(s) - 1]) AS n FROM f),
+n AS (SELECT s, first, unnest([length(s), length(s) - 1]) AS n FROM f WHERE length(s) >= 16),
 k AS (SELECT s, first, n, 0 AS q, right(s, n - n // 2) AS h FROM n UNION ALL SELECT s, first, n, 1, left(s, n // 2) FROM n),
 p AS (SELECT DISTINCT a.s AS x, b.s AS y, b.first AS prev FROM k a JOIN k b USING (n, q, h) WHERE b.first < a.first AND abs(length(a.s) - length(b.s)) <= 1),
 near AS (SELECT x AS s, min(prev) AS near FROM p WHERE len(list_filter(range(0, length(x) + 1), lambda i: left(x, i) = left(y, i)

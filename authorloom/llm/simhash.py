@@ -152,5 +152,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows that repeat a key are all kept or all dropped; rows without a key are kept.
     """
-    dropped = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).where("doc_id <> component_id").select("doc_id").distinct()
-    return common.sized(docs.join(dropped, docs[key] == dropped["doc_id"], "left_anti"), docs.count(), common.TEXT_ROWS)
+    name = common.unused("_dropped", docs)
+    dropped = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return common.sized(docs.join(dropped, docs[key] == dropped[name], "left_anti"), docs.count(), common.TEXT_ROWS)
+
+
+def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, one of each group of texts whose sets of 5-word shingles are alike by 0.8 or more.
+
+    A fingerprint of 64 bits cannot find those: sets of a Jaccard similarity of
+    0.8 differ in some 10 of 64 bits, as far as many unrelated ones. So wider
+    digests (parities of the set, two bits a shingle), which bound the
+    sets' difference from below, take the fingerprint's place in the pigeonring
+    filter, and the sets themselves that of the Hamming check (``jaccard``).
+    """
+    from . import jaccard  # which uses this module's words
+
+    return jaccard.keep_one(docs, key, text)

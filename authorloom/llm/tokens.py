@@ -13,18 +13,22 @@ keys. A shard file is
 with the sections keys, key flags, counts (the documents in order), levels and
 ranks (a minimal perfect hash of the keys), slots (fingerprint, first id,
 number of ids) and payload (raw uint16 or uint32 ids). A keyed read hashes the
-key, checks the slot's fingerprint and reads one run of the payload. Files are
-named by attempt and only those in the manifest count, so retried and
-speculative tasks do no harm.
+key, checks the slot's fingerprint and reads one run of the payload; the
+manifest's key bounds tell which shard to open (``Store.get``). Files are named
+by attempt and only those in the manifest count, so retried and speculative
+tasks do no harm. Other tokenizer files than those whose first steps are known
+are encoded text by text.
 
 Defined results: null text is encoded as empty (its end id alone); a null key
 is stored first and found only by scanning; rows that repeat a key are all
 stored, in order of their text's hash, and the index finds the first; an empty
-table writes no shard; other columns of the input are ignored.
+table writes no shard; a very long text is encoded like any other, in one go;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -36,7 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,8 +49,9 @@ from . import common
 END_ID = 2
 #: Ids after which a task begins another shard.
 SHARD_IDS = 16_000_000
-#: Chunks whose ids a worker keeps (about 170 bytes each).
-CACHE_CHUNKS = 900_000
+#: Chunks whose ids a worker keeps (about 50 bytes each), and those encoded at once.
+CACHE_CHUNKS = 1_200_000
+LEARN_CHUNKS = 20_000
 #: Ids that a task reads back.
 READ_IDS = 16_000_000
 MAGIC = b"ALSHARD1"
@@ -58,60 +63,166 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Seen(dict):
-    """Chunk -> ids; a plain word before a stop or comma is looked up without it."""
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self[chunk[:-1]] + self[chunk[-1]]
+#: The first steps of the tokenizer files that may be encoded chunk by chunk.
+_CHUNKED = {
+    "normalizers": ("NFC", "Replace", "Lowercase"),
+    "spaces": r"\s+",
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+#: Words of letters that stay one letter in lower case and join with nothing after them; such a word before a stop or comma.
+_WORD = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_STOPPED = _WORD[:-1] + "[.,]$"
+
+
+#: What the last token of a word ends in.
+_LAST = "</w>"
+
+
+def chunked(file: dict) -> bool:
+    """Whether no token of a tokenizer file's reaches over white space, words end before stops, and last tokens tell."""
+    normal, before = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+    steps, splits = normal.get("normalizers", []), before.get("pretokenizers", [])
+    return (
+        tuple(x["type"] for x in steps) == _CHUNKED["normalizers"]
+        and steps[1]["pattern"] == {"Regex": _CHUNKED["spaces"]}
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": _CHUNKED["pattern"]}
+        and splits[0]["behavior"] == "Removed"
+        and splits[0]["invert"]
+        and not splits[1]["add_prefix_space"]
+        and not file.get("post_processor")
+        and file["model"]["type"] == "BPE"
+        and file["model"].get("end_of_word_suffix") == _LAST
+        and not any(c.isspace() for x in file.get("added_tokens", []) for c in x["content"])
+    )
+
+
+def _hash_strings(names: pa.Array) -> np.ndarray:
+    """A 64-bit number of each string, of its bytes and their places."""
+    if not len(names):
+        return np.zeros(0, np.uint64)
+    names = names if names.offset == 0 else pa.concat_arrays([names])
+    ends = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1).astype(np.int64)
+    size = np.diff(ends)
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8, ends[-1])[ends[0] :]
+    first = ends[:-1] - ends[0]
+    step = np.uint64(0x9E3779B97F4A7C15)
+    place = np.arange(len(data), dtype=np.uint64) - np.repeat(first.astype(np.uint64), size) + np.uint64(1)
+    mixed = (data + np.uint64(1)) * (place * step ^ (place * step) >> np.uint64(29))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    h = (total[first + size] - total[first]) * step
+    return h ^ h >> np.uint64(32)
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs pool[start : start + size], one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat((start - ends + size).astype(np.int32), size) + np.arange(total, dtype=np.int32)]
 
 
 class Encoder:
-    """Texts to ids; keeps the ids of chunks as little-endian unsigned 32-bit bytes."""
+    """Texts to ids; keeps the ids of chunks in one pool, in Arrow and numpy arrays."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
-        self.seen = _Seen({"": b""})
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x)}I", *x) for x in (e.ids for e in got)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        seen, need = self.seen, {}
-        for c in chunks:
-            core = c[:-1]
-            if c[-1] in ".," and core.isalpha() and max(core) < "\u0250":
-                if core not in seen:
-                    need[core] = None
-                if c[-1] not in seen:
-                    need[c[-1]] = None
-            else:
-                need[c] = None
-        names = list(need)
-        seen.update(zip(names, self._raw(names), strict=True))
+        with open(path, encoding="utf-8") as f:
+            self.chunked = chunked(json.load(f))
+        self.last = np.zeros(self.vocab, bool)  # tokens that end a word
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith(_LAST)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of the names, ascending, and whose they are
+
+    def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and each text's number of them."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_raw`` for plain words, many in one text: their last tokens tell them apart."""
+        ids, _ = self._raw([" ".join(words[lo : lo + 500]) for lo in range(0, len(words), 500)])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._raw(words)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
+
+    def _keep(self, names: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        new, n = _hash_strings(names), len(self.names)
+        order = np.argsort(new, kind="stable")
+        at = np.searchsorted(self.hashes, new[order])
+        self.hashes, self.order = np.insert(self.hashes, at, new[order]), np.insert(self.order, at, order + n)
+        self.names = pa.concat_arrays([self.names, names])
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """Each name's number, -1 for names not kept (and for those whose hash another has: they are encoded apart)."""
+        if not len(self.names) or not len(names):
+            return np.full(len(names), -1, np.int64)
+        h = _hash_strings(names)
+        by_hash = np.argsort(h)  # ascending needles are found faster
+        at = np.empty(len(h), np.int64)
+        at[by_hash] = np.minimum(np.searchsorted(self.hashes, h[by_hash]), len(self.hashes) - 1)
+        places = self.order[at].astype(np.int64)
+        return np.where(pc.equal(self.names.take(pa.array(places)), names).to_numpy(zero_copy_only=False), places, -1)
+
+    def _learn(self, names: pa.Array) -> None:
+        """Keep the ids of distinct names that are not kept yet."""
+        stopped = pc.match_substring_regex(names, _STOPPED)
+        words, others = names.filter(stopped), names.filter(pc.invert(stopped))
+        cores, stops = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
+        plain = pc.unique(pa.concat_arrays([cores, stops, others]))
+        plain = plain.filter(pa.array(self._places(plain) < 0))
+        letters = pc.match_substring_regex(plain, _WORD)
+        got = []
+        for some, encode in ((plain.filter(letters), self._words), (plain.filter(pc.invert(letters)), self._raw)):
+            for lo in range(0, len(some), LEARN_CHUNKS):
+                part = some.slice(lo, LEARN_CHUNKS)
+                got.append((part, *encode(part.to_pylist())))
+        if got:
+            parts, ids, size = zip(*got, strict=True)
+            self._keep(pa.concat_arrays(parts), np.concatenate(ids), np.concatenate(size))
+        if len(words):  # a word before a stop has the word's ids, then the stop's
+            both = np.stack([self._places(cores), self._places(stops)], axis=1).reshape(-1)
+            known = np.repeat((both.reshape(-1, 2) >= 0).all(axis=1), 2)
+            size = self.size[both[known]]
+            self._keep(words.filter(pa.array(known[::2])), _gather(self.pool, self.start[both[known]], size), size.reshape(-1, 2).sum(axis=1, dtype=np.int32))
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text's end."""
+        if not self.chunked:
+            ids, size = self._raw(["" if x is None else x for x in texts.to_pylist()])
+            return ids, np.cumsum(size, dtype=np.int64)
         chunks = pc.ascii_split_whitespace(texts)
+        words = np.cumsum(pc.list_value_length(chunks).fill_null(0).to_numpy(zero_copy_only=False))
         coded = chunks.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        parts = list(map(self.seen.get, names))
-        gaps = [i for i, p in enumerate(parts) if p is None]
-        self._learn([names[i] for i in gaps])
-        for i in gaps:
-            parts[i] = self.seen[names[i]]
-        if len(self.seen) > CACHE_CHUNKS:  # keep what these texts use
-            self.seen = _Seen({"": b""} | {n: p for n, p in zip(names, parts, strict=True) if n in self.seen})
-        pool = np.frombuffer(b"".join(parts), "<u4")
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        start = np.cumsum(size) - size
+        del chunks
+        names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        places = self._places(names)
+        gaps = np.flatnonzero(places < 0)
+        if len(gaps):
+            missing = names.take(pa.array(gaps))
+            self._learn(missing)
+            places[gaps] = self._places(missing)
+            for i in gaps[places[gaps] < 0]:  # a hash that two names share
+                places[i] = len(self.names)
+                self._keep(names.slice(i, 1), *self._raw([names[int(i)].as_py()]))
+        start, size, pool = self.start[places], self.size[places], self.pool
+        if len(self.names) > CACHE_CHUNKS:  # keep what these texts use
+            self._forget()
+            self._keep(names, pool := _gather(pool, start, size), size)
+            start = self.start
         n = size[codes]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat((start[codes] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        words = np.cumsum(pc.list_value_length(chunks).fill_null(0).to_numpy(zero_copy_only=False))
-        return ids, np.concatenate([[0], ends])[words]
+        return _gather(pool, start[codes], n), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[words]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -250,11 +361,18 @@ class Shard:
         return None if start[0] < 0 else self.ids(int(start[0]), int(count[0]))
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> list[dict]:
-    """Write shards below ``folder``; returns the manifest, a row for each shard in order of key.
+MANIFEST = "part long, seq long, path string, first_key long, last_key long, n_docs long, n_ids long"
+#: Tasks of the writer whose shards' bases are summed up together.
+BLOCK_TASKS = 1000
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> Store:
+    """Write shards and their manifest below ``folder``.
 
     Documents are dealt by ranges of keys, so shards ascend; a task holds one
-    shard at a time. Manifest: path, base (ids in earlier shards), n_docs, n_ids.
+    shard at a time. The manifest is a table with a row for each shard: its
+    place in order (part, seq), path, base (ids in earlier shards), first and
+    last key, n_docs, n_ids.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k", F.xxhash64("t"))
@@ -270,7 +388,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
             name = f"shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
             with system.open_output_stream(f"{root}/{name}") as out:
                 out.write(pack_shard(keys, ids, encoder.vocab))
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "name": [name], "n_docs": [len(keys)], "n_ids": [held]}, schema=arrow)
+            known = [k for k in keys if k is not None] or [None]
+            row = {"part": part, "seq": seq, "path": f"{folder}/{name}", "first_key": known[0], "last_key": known[-1], "n_docs": len(keys), "n_ids": held}
+            return pa.RecordBatch.from_pydict({c: [v] for c, v in row.items()}, schema=arrow)
 
         for batch in batches:
             for lo, n in common.spans(batch.column(1)):
@@ -288,25 +408,44 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id
         if keys:
             yield flush()
 
-    arrow = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    written = rows.mapInArrow(run, "part long, seq long, name string, n_docs long, n_ids long")
-    written = common.cut(written.repartition(1), "shards")  # a row for each shard
-    manifest, base = [], 0
-    for r in written.orderBy("part", "seq").collect():  # one row for each shard of SHARD_IDS ids
-        manifest.append({"path": f"{folder}/{r['name']}", "base": base, "n_docs": r["n_docs"], "n_ids": r["n_ids"]})
-        base += r["n_ids"]
+    arrow = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in MANIFEST.split(", ")])
+    written = common.cut(rows.mapInArrow(run, MANIFEST).repartition(1), "shards")  # a row for each shard
+    # ids before a shard: in its block of tasks, and in the blocks before
+    blocks = written.withColumn("block", F.floor(F.col("part") / BLOCK_TASKS))
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = blocks.groupBy("block").agg(F.sum("n_ids").alias("n_ids")).select("block", earlier(Window.orderBy("block")).alias("before"))
+    inner = blocks.withColumn("base", earlier(Window.partitionBy("block").orderBy("part", "seq")))
+    based = inner.join(sums, "block").select(*written.columns, (F.col("base") + F.col("before")).alias("base"))
+    based.write.mode("overwrite").parquet(f"{folder}/manifest")
     common.discard(written)
-    return manifest
+    return Store(docs.sparkSession, folder)
+
+
+class Store:
+    """A written store: one document by key, or all in order."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.manifest = spark.read.schema(f"{MANIFEST}, base long").parquet(f"{folder}/manifest")
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of the key's document (of rows that repeat a key, the first); reads the one shard whose keys reach over it."""
+        for r in self.manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("path").limit(2).collect():
+            if (ids := Shard(r["path"]).get(key)) is not None:
+                return ids
+        return None
+
+    def documents(self, with_ids: bool = False) -> DataFrame:
+        return read_store(self.spark, self.manifest, with_ids)
 
 
-def read_store(spark, manifest: list[dict], with_ids: bool = False) -> DataFrame:
+def read_store(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every stored document, read from the files through their index."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     common.ship(spark)
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    tasks = min(len(manifest), -(-sum(m["n_ids"] for m in manifest) // READ_IDS))
-    shards = spark.createDataFrame([(m["path"], m["base"]) for m in manifest], "path string, base long").repartition(tasks)
+    n = manifest.agg(F.count("*").alias("shards"), F.sum("n_ids").alias("ids")).first()
+    tasks = max(1, min(n["shards"], -(-(n["ids"] or 0) // READ_IDS)))
+    shards = manifest.select("path", "base").repartition(tasks)
 
     def run(batches):
         for batch in batches:

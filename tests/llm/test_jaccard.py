@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from authorloom.llm import jaccard, simhash
 
@@ -53,6 +54,21 @@ def test_groups_against_all_pairs(spark):
     assert jaccard.near_duplicates(docs_of(spark, [])).count() == 0 and jaccard.near_duplicates(docs_of(spark, ODD)).count() == len(ODD)
 
 
+def test_digests_prune_no_pair_within_the_bound():
+    draw = np.random.default_rng(11)
+    pruned = 0
+    for _ in range(600):
+        n, extra = int(draw.integers(1, 700)), [int(x) for x in draw.integers(0, 160, 2)]
+        base = draw.integers(0, 2**63, n, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([base, draw.integers(0, 2**63, e, dtype=np.uint64)])) for e in extra)
+        differ = len(np.setxor1d(a, b))
+        most = (len(a) + len(b)) // 9
+        ok = jaccard.within(jaccard.parities(a), jaccard.parities(b), most)
+        assert ok or differ > most
+        pruned += not ok
+    assert pruned > 100
+
+
 def test_stage_drops_copies_beyond_two_bits(spark, sf_dir):
     text = prose(1, 120)
     other = " ".join([*text.split()[:-3], "quite", "other", "words"])

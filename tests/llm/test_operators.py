@@ -188,6 +188,42 @@ def test_encoder_equals_the_tokenizer():
             assert raw.tolist() == plain_ids(text)
 
 
+def test_encoder_on_every_character_before_a_stop():
+    """Each code point ends a word before a stop and a comma, alone and after letters."""
+    points = [c for c in map(chr, range(0x21, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and not c.isspace()]
+    points = [c for c in points if ord(c) < 0x3000 or ord(c) % 97 == 0]
+    texts = [f"{c}. x{c}. ab{c}, {c}," for c in points]
+    e = tokens.Encoder(tokens.tokenizer_path())
+    assert e.chunked
+    for lo in range(0, len(texts), 5000):
+        some = texts[lo : lo + 5000]
+        want = [x.ids for x in e.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(some)] == want
+
+
+def test_encoder_forgets_and_survives_equal_hashes(monkeypatch):
+    words = [f"{a}{b}{c}" for a in ("ab", "Que", "thi") for b in "aeiou" for c in ("", ".", ",", "x9", "'s")]
+    want = [plain_ids(w) for w in words]
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 20)
+    e = tokens.Encoder(tokens.tokenizer_path())
+    for lo in range(0, len(words), 10):
+        assert [x.tolist() for x in e.encode(words[lo : lo + 10])] == want[lo : lo + 10]
+    assert len(e.names) <= 60
+    monkeypatch.setattr(tokens, "_hash_strings", lambda names: np.array([len(x.as_py()) for x in names], np.uint64))
+    e = tokens.Encoder(tokens.tokenizer_path())
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode([" ".join(words)])] == [[i for x in want for i in x]]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    e = tokens.Encoder(path)
+    assert not e.chunked
+    assert [x.tolist() for x in e.encode(TRICKY)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in TRICKY]
+
+
 def test_perfect_hash_is_minimal_and_rejects():
     keys = np.unique(np.random.default_rng(1).integers(-(2**60), 2**60, 20_000))
     index = tokens.PerfectHash.build(keys)
@@ -199,10 +235,10 @@ def crc_of(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_store_round_trip(spark, odd, none, tmp_path):
+def test_store_round_trip(spark, odd, none, tmp_path, monkeypatch):
     rows = odd.union(docs_of(spark, [(20 + i, t) for i, t in enumerate(TRICKY)]))
-    manifest = tokens.write_store(rows, f"file://{tmp_path}/store", tokens.tokenizer_path(), shard_ids=300)
-    got = tokens.read_store(spark, manifest, with_ids=True).orderBy("start").collect()
+    store = tokens.write_store(rows, f"file://{tmp_path}/store", tokens.tokenizer_path(), shard_ids=300)
+    got = store.documents(with_ids=True).orderBy("start").collect()
     want = sorted([*ODD, *((20 + i, t) for i, t in enumerate(TRICKY))], key=lambda x: (x[0] is not None, x[0] or 0))
     assert [r["doc_id"] for r in got] == [k for k, _ in want]
     start = 0
@@ -210,11 +246,15 @@ def test_store_round_trip(spark, odd, none, tmp_path):
         ids = [*plain_ids(text), tokens.END_ID]
         assert (r["start"], r["n_tokens"], r["ids"], r["ids_crc32"]) == (start, len(ids), ids, crc_of(ids))
         start += len(ids)
-    shards = [tokens.Shard(m["path"]) for m in manifest]
-    assert len(shards) > 1
-    found = [s.get(22) for s in shards if s.get(22) is not None]
-    assert [x.tolist() for x in found] == [[*plain_ids(TRICKY[2]), 2]] and all(s.get(999) is None for s in shards)
-    assert tokens.read_store(spark, tokens.write_store(none, f"file://{tmp_path}/none", tokens.tokenizer_path())).count() == 0
+    opened = []
+    real = tokens.Shard
+    monkeypatch.setattr(tokens, "Shard", lambda path: opened.append(path) or real(path))
+    assert store.manifest.count() > 1
+    assert store.get(22).tolist() == [*plain_ids(TRICKY[2]), 2] and len(opened) == 1
+    assert store.get(999) is None and store.get(-5) is None and len(opened) == 1
+    assert tokens.Store(spark, store.folder).get(4).tolist() == [*plain_ids("word"), 2]
+    empty = tokens.write_store(none, f"file://{tmp_path}/none", tokens.tokenizer_path())
+    assert empty.documents().count() == 0 and empty.get(1) is None
 
 
 def check_pieces(rows, texts):
@@ -248,6 +288,25 @@ def test_packing_query(spark, sf_dir):
     assert waste <= 2048 * 4 and waste < 0.02 * used
 
 
+def test_step_groups_are_equal():
+    lengths = np.random.default_rng(5).lognormal(5.5, 1.2, 20_000).astype(int) + 1
+    full, _ = packing.pack(lengths.tolist())
+    groups, left = packing.step_groups(full, packing.WINDOW)
+    assert {sum(t for t, _ in g) for g in groups} == {packing.STEP_UNITS * packing.WINDOW}
+    assert sum(t for t, _ in left) < (packing.STEP_UNITS + 3) * packing.WINDOW
+    assert sum(len(g) for g in groups) + len(left) == len(full)
+    shares = [sum(t for t, _ in g if t == packing.WINDOW) for g in groups]
+    assert max(shares) - min(shares) <= 4 * packing.WINDOW  # the mixture is about the same
+
+
+def test_step_groups_of_the_operator(spark):
+    rows = docs_of(spark, [(k, "word next " * (10 + k * 37 % 900)) for k in range(600)]).coalesce(1)
+    got = packing.pack_documents(rows, tokens.tokenizer_path(), buffer_ids=60_000).groupBy("step_group").sum("length").collect()
+    whole = [r["sum(length)"] for r in got if r["step_group"] >= 0]
+    assert len(whole) > 5 and set(whole) == {packing.STEP_UNITS * packing.WINDOW}
+    assert all(r["sum(length)"] <= whole[0] for r in got)
+
+
 def test_packing_odd_input_and_small_buffers(spark, odd, none):
     single = odd.where("doc_id IS NULL OR doc_id <> 8").union(docs_of(spark, [(30, "long text here. " * 3000)]))
     texts = {r["doc_id"]: r["text"] for r in single.collect()}
@@ -467,16 +526,18 @@ def plain_drops(rows):
     for k, t in sorted(rows):
         for i, line in enumerate(t.split("\n")):
             line = line.strip(" ")
-            if len(line) >= line_dedup.LEAST:
-                if any(within_one(line, x) for x in seen):
-                    out.add((k, i))
-                seen.append(line)
+            if not line:
+                continue
+            long = [x for x in seen if len(x) >= line_dedup.LEAST] if len(line) >= line_dedup.LEAST else []
+            if line in seen or any(within_one(line, x) for x in long):
+                out.add((k, i))
+            seen.append(line)
     return out
 
 
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(11)
-    base = [f"the quick brown fox jumps over lazy dog number {i}" for i in range(5)] + ["áé日本 text with letters of all kinds", "x" * 40, "ab" * 20, "1234567890123456"]
+    base = [f"the quick brown fox jumps over lazy dog number {i}" for i in range(5)] + ["áé日本 text with letters of all kinds", "x" * 40, "ab" * 20, "1234567890123456", "short", "a", "", "123456789012345"]
 
     def change(x):
         i = rng.randrange(len(x) + 1)
@@ -487,10 +548,20 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == plain_drops(rows)
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    """Edits in a line of 200,000 characters, at its ends, and next to a sector's edge."""
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(200_000)).strip() + "z"
+    n = len(line)
+    cut = n // 32 * 3
+    rows = [(1, line), (2, line[:cut] + "Q" + line[cut:]), (3, line[:-1]), (4, line[1:]), (5, line[: n // 2] + "Q" + line[n // 2 + 1 :]), (6, line[:5] + "QQ" + line[5:])]
+    assert {(r["doc_id"], r["near"]) for r in line_dedup.dropped_lines(docs_of(spark, rows)).collect()} == {(k, True) for k in (2, 3, 4, 5)}
+
+
 def test_line_dedup_odd_input(spark, odd, none):
-    rows = odd.union(docs_of(spark, [(40, "a line that is quite long enough\nshort\n a line that is quite long enough "), (41, "a line that is quite long enouhg\na line that is quite long enoug\n"), (42, "y" * 60_000), (43, "y" * 60_001)]))
+    rows = odd.union(docs_of(spark, [(40, "a line that is quite long enough\nshort\n a line that is quite long enough "), (41, "a line that is quite long enouhg\na line that is quite long enoug\n"), (42, "y" * 60_000), (43, "y" * 60_001), (44, "short\n\nshore")]))
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove(rows).collect()}
-    assert got[40] == "a line that is quite long enough\nshort" and got[41] == "a line that is quite long enouhg\n" and got[42] == "y" * 60_000 and got[43] == ""
+    assert got[40] == "a line that is quite long enough\nshort" and got[44] == "\nshore" and got[41] == "a line that is quite long enouhg\n" and got[42] == "y" * 60_000 and got[43] == ""
     assert got[1] is None and got[2] == "" and got[None] == "no key at all" and line_dedup.remove(rows).columns == rows.columns
     assert line_dedup.remove(none).count() == 0 and line_dedup.report(none).count() == 0
     r = {x["doc_id"]: x for x in line_dedup.report(rows).collect()}
