@@ -7,12 +7,16 @@ lineage ends there, so a lost executor costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders that exist: path -> (session, owner or None).
+_written: dict[str, tuple[SparkSession, str | None]] = {}
+_owner: list[str | None] = [None]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,10 +35,35 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; removed when the driver ends."""
     path = f"{shared_root(spark)}/authorloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = (spark, _owner[-1])
     return path
 
 
+@contextlib.contextmanager
+def owned(owner: str):
+    """Folders made meanwhile belong to ``owner``, so that ``free`` can delete them together."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def free(owner: str, *still_read: DataFrame) -> None:
+    """Delete the owner's folders, except those that ``still_read`` is yet to read."""
+    files = [f for df in still_read for f in df.inputFiles()]
+    for path, (spark, whose) in list(_written.items()):
+        name = path.rpartition("/")[2]  # holds a unique number
+        if whose == owner and not any(name in f for f in files):
+            delete(spark, path)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that a task gathers into one file, for narrow rows and for rows with a text.
 NARROW_ROWS, TEXT_ROWS = 250_000, 8_000
 
@@ -65,13 +94,14 @@ def discard(*frames: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _written.pop(path, None)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for path, (spark, _) in list(_written.items()):
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001 - the JVM has gone first
