@@ -3,14 +3,15 @@
 Training gathers character trigram counts per language from a bounded,
 hash-ordered sample of labelled rows (``per_lang`` rows a language). A word is
 scored under every language by its trigrams' log probabilities; languages that
-never use the word's script drop out. Viterbi over the words with a switching
+never use the word's script drop out (a script that no language uses rules out
+none). Viterbi over the words with a switching
 penalty labels spans, and the language with most labelled letters is the
 document's.
 
 Defined results: null text or text without a letter -> ``und``, score 0;
 no training rows -> ``und``, score 0; ties go to the alphabetically first
-language; repeated rows give repeated equal results; other columns of the
-input are ignored, so clashing names do no harm.
+language; very long texts are labelled whole; repeated rows give repeated equal
+results; other columns of the input are ignored, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ SCRIPTS = {
 }
 NAMES = [*SCRIPTS, "other"]
 _EDGES = sorted((lo, hi, k) for k, name in enumerate(SCRIPTS) for lo, hi in SCRIPTS[name])
+#: Runs of letters, and of numbers that are no decimal digits.
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -73,7 +75,11 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case."""
+    out = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, out)):
+        return out
+    return [x for w in out for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _count(texts_langs):
@@ -103,12 +109,12 @@ class Model:
         self.langs, self.logp, self.scripts, self.switch = langs, logp.astype(np.float32), scripts, switch
 
     def score_words(self, words: list[str]) -> np.ndarray:
-        """Words by languages: summed log probabilities; narrowed by script."""
+        """Words by languages: summed log probabilities; languages without the word's script are out, unless all are."""
         grams, starts, script = _trigrams(words)
         out = np.add.reduceat(self.logp[grams], starts, axis=0)
         allowed = self.scripts[script]
         allowed |= ~allowed.any(axis=1, keepdims=True)
-        return np.where(allowed, out, out - 50).astype(np.float32)
+        return np.where(allowed, out, -np.inf).astype(np.float32)
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -134,7 +140,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, key: str = "doc_id", text:
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """Best label of each word of each document; all documents advance together."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-    out: list = [np.zeros(0, np.int8)] * len(scores)
+    out: list = [np.zeros(0, np.int16)] * len(scores)
     for lo in range(0, len(order), 256):
         some = [i for i in order[lo : lo + 256] if len(scores[i])]
         if not some:
@@ -146,10 +152,10 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         flat = np.empty((int(lengths.sum()), k), np.float32)
         for row, i in enumerate(some):
             flat[first[: lengths[row]] + row] = scores[i]
-        back = np.empty(flat.shape, np.int8)
+        back = np.empty(flat.shape, np.int16)
         best = flat[: live[0]].copy()
         last = [None] * len(some)
-        stay = np.arange(k, dtype=np.int8)
+        stay = np.arange(k, dtype=np.int16)
         ended = live[0]
         for t in range(1, longest + 1):
             n = live[t] if t < longest else 0
@@ -165,9 +171,9 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
             jump = best[np.arange(n), top] - switch
             moves = jump[:, None] > best
             s = slice(first[t], first[t] + n)
-            back[s] = np.where(moves, top[:, None].astype(np.int8), stay)
+            back[s] = np.where(moves, top[:, None].astype(np.int16), stay)
             best = np.where(moves, jump[:, None], best) + flat[s]
-        labels = np.empty(len(flat), np.int8)
+        labels = np.empty(len(flat), np.int16)
         state = np.array(last, np.int64)
         for t in range(longest - 1, -1, -1):
             n = live[t]
@@ -209,7 +215,7 @@ class Labeller:
         """(words, labels, letters) of each text."""
         words = [words_of(x) if x else [] for x in texts]
         if not self.model.langs:
-            return [([], np.zeros(0, np.int8), np.zeros(0, np.int32)) for _ in texts]
+            return [([], np.zeros(0, np.int16), np.zeros(0, np.int32)) for _ in texts]
         ids = self._numbers(words)
         labels = viterbi([self.rows[i] for i in ids], self.model.switch)
         return [(w, x, self.letters[i]) for w, x, i in zip(words, labels, ids, strict=True)]

@@ -12,7 +12,7 @@ Words share hashed rows, so the model's size is fixed. Scoring reads every
 whole text once, without a shuffle.
 
 Defined results: null and empty texts pool to zero vectors and get that
-vector's score; labels without a document, or null, teach nothing; rows that
+vector's score; very long texts are read whole; labels without a document, or null, teach nothing; rows that
 label a document twice teach their mean, rounded up; no usable label gives
 score 0.5 throughout; repeated rows get equal scores; other columns of either
 table are ignored.
@@ -161,12 +161,21 @@ class Network:
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     p[i] = p[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         self.p = [w.astype(np.float32) for w in p]
-        self.temperature = 1.0
+        self.temperature, self.losses = 1.0, None
         if back.any():
-            z, b = self._logit(x[back]), y[back]
-            grid = np.exp(np.linspace(0, 3, 61))
-            loss = [-np.mean(b * np.log(q := np.clip(_sigmoid(z / s), 1e-7, 1 - 1e-7)) + (1 - b) * np.log(1 - q)) for s in grid]
-            self.temperature = float(grid[int(np.argmin(loss))])
+            self.calibrate(x[back], y[back])
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Choose the temperature, below or above 1, of least log loss; ``losses`` are those before and after."""
+        z = self._logit(x)
+
+        def loss(t: float) -> float:
+            q = np.clip(_sigmoid(z / t), 1e-7, 1 - 1e-7)
+            return float(-np.mean(y * np.log(q) + (1 - y) * np.log(1 - q)))
+
+        grid = np.exp(np.linspace(-3, 3, 121))
+        self.temperature = float(min(grid, key=loss))
+        self.losses = loss(1.0), loss(self.temperature)
 
     def _logit(self, x):
         return np.tanh(x @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]

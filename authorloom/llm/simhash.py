@@ -12,17 +12,21 @@ proportional budgets 2/3, 4/3, 2). The first term gives a hash-join key (which
 segment, its value); the chain is checked on each candidate before the full
 Hamming distance.
 
-A bucket of one key may be large (near copies). Buckets of up to
-``PAIR_LIMIT`` fingerprints are paired within. In larger ones each fingerprint
-emits itself and every variant with one bit of the other two segments turned;
-two fingerprints with a common variant differ in at most two bits, and every
-pair within two bits that shares the key has one. So the members of a variant
-are all linked to its smallest: work stays linear and no link is lost.
+Buckets of more than ``PAIR_LIMIT`` fingerprints go on to the chain's second term, by
+hash too: each fingerprint is looked up under its own next segment and emits
+that and all values one bit away, so sub-buckets hold only pairs within the
+budget of two segments. Small sub-buckets are paired, with the chain and the
+distance checked as above. Sub-buckets that are still large are dense groups of
+near copies: there each fingerprint emits itself and every variant with one bit
+outside the first segment turned; two fingerprints with a common variant differ in at
+most two bits, and every pair within two bits that shares the segment has one.
+So the members of a variant are all linked to its smallest: work stays linear
+and no link is lost.
 
 Defined results: null and empty texts (no words) have fingerprint zero and
 link like any other; fewer than three words make one shingle of them all;
-repeated rows and ties share a fingerprint; an empty table gives no rows;
-other columns of the input are ignored.
+repeated rows and ties share a fingerprint; very long texts count whole; an
+empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -116,17 +120,26 @@ def links(distinct: DataFrame, n: int, pair_limit: int = PAIR_LIMIT) -> DataFram
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.s", "k.v")
     sizes = rows.groupBy("s", "v").agg(F.count("*").alias("n")).where("n > 1")
     dealt = common.cut(rows.join(sizes, ["s", "v"]), "buckets", len(SEGMENTS) * n)
-    small = dealt.where(F.col("n") <= pair_limit)
     a, b = F.col("a"), F.col("b")
-    pairs = small.select("s", "v", fp.alias("a")).join(small.select("s", "v", fp.alias("b")), ["s", "v"]).where("a < b")
-    pairs = pairs.where(_ring(a, b, F.col("s"))).where(F.bit_count(a.bitwiseXOR(b)) <= DISTANCE).select("a", "b")
+    checked = lambda pairs: pairs.where(_ring(a, b, F.col("s"))).where(F.bit_count(a.bitwiseXOR(b)) <= DISTANCE).select("a", "b")
+    small = dealt.where(F.col("n") <= pair_limit)
+    pairs = checked(small.select("s", "v", fp.alias("a")).join(small.select("s", "v", fp.alias("b")), ["s", "v"]).where("a < b"))
+    # the chain's second term: the next segment, its own value and those one bit away
+    of_start = lambda values: F.coalesce(*[F.when(F.col("s") == k, values((k + 1) % len(SEGMENTS))) for k in range(len(SEGMENTS))])
+    near = of_start(lambda k: F.array(*[_segment(fp, k).bitwiseXOR(F.lit(m)).cast("long") for m in (0, *(1 << i for i in range(SEGMENTS[k][1])))]))
+    second = dealt.where(F.col("n") > pair_limit).select("fp", "s", "v", of_start(lambda k: _segment(fp, k)).alias("own"), F.explode(near).alias("w"))
+    sizes = second.groupBy("s", "v", "w").agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("w")).alias("owners")).where("n > 1 AND owners > 0")
+    second = common.cut(second.join(sizes, ["s", "v", "w"]), "chains")
+    less = second.where(F.col("n") <= pair_limit)
+    met = less.where("own = w").select("s", "v", "w", fp.alias("x")).join(less.select("s", "v", "w", fp.alias("y")), ["s", "v", "w"]).where("x <> y")
+    pairs = pairs.union(checked(met.select("s", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
     # the bits outside segment s; each turned once, and none
     turned = F.lit(None)
     for s, (first, width) in enumerate(SEGMENTS):
         masks = [0, *(1 << i for i in range(64) if not first <= i < first + width)]
         signed = [x - (1 << 64) if x >> 63 else x for x in masks]
         turned = F.when(F.col("s") == s, F.array(*[F.lit(x).cast("long") for x in signed])).otherwise(turned)
-    large = dealt.where(F.col("n") > pair_limit).select("fp", "s", F.explode(turned).alias("m"))
+    large = second.where(F.col("n") > pair_limit).select("fp", "s").distinct().select("fp", "s", F.explode(turned).alias("m"))
     large = large.select("fp", "s", fp.bitwiseXOR(F.col("m")).alias("variant"))
     hubs = large.groupBy("s", "variant").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("s", "variant", "a")
     starred = large.join(hubs, ["s", "variant"]).where("fp <> a").select("a", fp.alias("b"))

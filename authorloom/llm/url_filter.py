@@ -13,7 +13,9 @@ Per list the longest pattern decides; allowing lists come before blocking ones.
 Defined results: a null or unparsable URL, or a null time, matches nothing and
 is kept with action ``none``; events without a time, list or pattern are
 ignored; of events of one moment removal comes last (it wins); repeated events
-change nothing; repeated captures get repeated equal rows; empty tables give
+change nothing; a capture is a key, a URL and a time, so captures of one key at
+several times are judged each at its own; repeated captures get repeated equal
+rows; a null key is kept; very long URLs are taken whole; empty tables give
 no matches or no rows; further columns of either table are ignored.
 """
 
@@ -57,23 +59,29 @@ def _bucket(ts: Column) -> Column:
     return F.floor(F.unix_seconds(ts) / (BUCKET_DAYS * 86400)).cast("long")
 
 
+def _url_hashes(url: Column, *names: str) -> list[Column]:
+    first, second = names or ("h1", "h2")
+    return [F.xxhash64(url).alias(first), F.xxhash64(F.lit(1), url).alias(second)]
+
+
 def matches(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str = "url", ts: str = "fetch_ts") -> DataFrame:
-    """(key, list, action, pattern): the longest active pattern of each list for each capture (rows of one key are one capture)."""
-    rows = captures.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(ts).alias("_ts")).where("_ts IS NOT NULL")
+    """(key, ts, h1, h2, list, action, pattern): the longest active pattern of each list for each capture (key, time and hashes of the URL)."""
+    rows = captures.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(ts).alias("_ts"), *_url_hashes(F.col(url))).where("_ts IS NOT NULL").distinct()
     span = rows.agg(_bucket(F.min("_ts")).alias("lo"), _bucket(F.max("_ts")).alias("hi")).first()
-    probes = rows.select("_k", "_ts", _bucket(F.col("_ts")).alias("_b"), F.explode(keys_of(F.col("_u"))).alias("pattern"))
+    probes = rows.select("_k", "_ts", "h1", "h2", _bucket(F.col("_ts")).alias("_b"), F.explode(keys_of(F.col("_u"))).alias("pattern"))
     lo, hi = (span["lo"] or 0, span["hi"] if span["hi"] is not None else -1)
     first, last = F.greatest(_bucket(F.col("from_ts")), F.lit(lo)), F.least(F.coalesce(_bucket(F.col("to_ts")), F.lit(hi)), F.lit(hi))
     valid = intervals(events).where(first <= last).withColumn("_b", F.explode(F.sequence(first, last)))
     met = probes.join(valid, ["pattern", "_b"]).where("_ts >= from_ts AND (to_ts IS NULL OR _ts < to_ts)")
-    best = met.groupBy("_k", "list").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action")).alias("m"))
-    return best.select(F.col("_k").alias(key), "list", "m.action", "m.pattern")
+    best = met.groupBy("_k", "_ts", "h1", "h2", "list").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action")).alias("m"))
+    return best.select(F.col("_k").alias(key), F.col("_ts").alias(ts), "h1", "h2", "list", "m.action", "m.pattern")
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, key: str = "page_id", url: str = "url", ts: str = "fetch_ts") -> DataFrame:
     """(key, host, action, n_lists, pattern): a row for each capture; action is allow, block or none."""
-    found = matches(captures, events, key, url, ts).groupBy(F.col(key).alias("_k")).agg(
+    found = matches(captures, events, key, url, ts).groupBy(F.col(key).alias("_k"), F.col(ts).alias("_ts"), "h1", "h2").agg(
         F.min("action").alias("_action"), F.count("*").alias("_n"), F.min(F.struct("action", "list", "pattern")).alias("_m"))  # "allow" sorts before "block"
-    rows = captures.select(F.col(key).alias(key), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"))
-    out = rows.join(found, rows[key] == found["_k"], "left").select(key, "host", F.coalesce("_action", F.lit("none")).alias("action"), F.coalesce("_n", F.lit(0)).alias("n_lists"), F.col("_m.pattern").alias("pattern"))
+    rows = captures.select(F.col(key).alias("_key"), F.col(ts).alias("_at"), F.coalesce(host_of(F.col(url)), F.lit("")).alias("host"), *_url_hashes(F.col(url), "u1", "u2"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_ts")) & (F.col("u1") == F.col("h1")) & (F.col("u2") == F.col("h2"))
+    out = rows.join(found, same, "left").select(F.col("_key").alias(key), "host", F.coalesce("_action", F.lit("none")).alias("action"), F.coalesce("_n", F.lit(0)).alias("n_lists"), F.col("_m.pattern").alias("pattern"))
     return sized(out, captures.count())

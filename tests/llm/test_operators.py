@@ -53,6 +53,15 @@ def test_url_filter_as_of(spark):
     assert {r["action"] for r in url_filter.filter_urls(captures, events.limit(0)).collect()} == {"none"}
 
 
+def test_url_filter_judges_each_capture_at_its_time(spark):
+    events = spark.createDataFrame([("b", "block", "bad.com", True, "2024-01-10"), ("b", "block", "bad.com", False, "2024-02-10")], "list string, action string, pattern string, added boolean, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    long = "http://bad.com/" + "x/" * 2000
+    rows = [(1, "http://bad.com/a", "2024-01-01"), (1, "http://bad.com/a", "2024-02-01"), (1, "http://bad.com/a", "2024-02-01"), (1, "http://ok.com/a", "2024-02-01"), (None, "http://bad.com/", "2024-02-01"), (2, long, "2024-02-01")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, ts string").select("page_id", "url", F.col("ts").cast("timestamp").alias("fetch_ts"), F.lit(1).alias("host"), F.lit(2).alias("pattern"), F.lit(3).alias("h1"), F.lit(4).alias("action"))
+    got = sorted((r["page_id"] or 0, r["host"], r["action"]) for r in url_filter.filter_urls(captures, events).collect())
+    assert got == [(0, "bad.com", "block"), (1, "bad.com", "block"), (1, "bad.com", "block"), (1, "bad.com", "none"), (1, "ok.com", "none"), (2, "bad.com", "block")]
+
+
 # ---- 2: language id ----------------------------------------------------------
 
 def plain_viterbi(scores, switch):
@@ -366,28 +375,77 @@ def test_repeated_passages_are_found_and_clean_ones_left(spark, odd, none):
     assert {r["text"] for r in kept.where("doc_id IS NULL OR doc_id < 7").collect()} == {t for k, t in ODD if k is None or k < 7}
 
 
+def plain_chunks(data):
+    """Ends of chunks, byte by byte."""
+    d = substring_dedup
+    mask, ends, start, h = (1 << 32) - 1, [], 0, 0
+    for i, byte in enumerate(data, 1):
+        if i > d.SPAN:
+            h -= int(d.GEAR[data[i - 1 - d.SPAN]]) << (d.SPAN - 1)
+        h = ((h << 1) + int(d.GEAR[byte])) & mask
+        inside = i < len(data) and data[i] & 0xC0 == 0x80
+        marked = i >= d.SPAN and h >> (32 - d.MASK_BITS) == 0 and not inside
+        if i == len(data) or (marked and i - start >= d.LEAST):
+            while i - start > d.MOST:
+                start += d.MOST
+                while data[start] & 0xC0 == 0x80:
+                    start -= 1
+                ends.append(start)
+            if i - start >= d.LEAST or i == len(data):
+                ends.append(i)
+                start = i
+    return ends
+
+
 def test_repeats_query_against_plain_version(spark, sf_dir):
     texts = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
-    seen, want = {}, {}
+    first, want = {}, {}
     for k, t in texts:
-        data, start, run, spans = t.encode(), 0, None, []
-        for end in [*substring_dedup.chunk_ends(data), None]:
-            known = end is not None and data[start:end] in seen
-            if end is not None:
-                seen.setdefault(data[start:end], k)
-            if known:
-                run = (run[0] if run else start, end)
-            elif run:
-                if run[1] - run[0] >= substring_dedup.RUN_BYTES:
-                    spans.append(run)
-                run = None
+        data, start, chunks = t.encode(), 0, []
+        for end in plain_chunks(data):
+            source = first.setdefault(data[start:end], (k, start))
+            chunks.append((start, end, source if source != (k, start) else None))
             start = end
+        spans, i = [], 0
+        while i < len(chunks):
+            if chunks[i][2] is None:
+                i += 1
+                continue
+            j = last = i  # the farthest repeat before the next new chunk that the same document holds at the same distance
+            while j < len(chunks) and chunks[j][2]:
+                if (chunks[j][2][0], chunks[j][2][1] - chunks[j][0]) == (chunks[i][2][0], chunks[i][2][1] - chunks[i][0]):
+                    last = j
+                j += 1
+            a, z = chunks[i][0], chunks[last][1]
+            if z - a >= substring_dedup.RUN_BYTES or (a, z) == (0, len(data)):
+                spans.append((a, z))
+            i = last + 1
         if spans:
             want[k] = spans
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in Q.op5_substring_dedup(spark, sf_dir).collect()}
     assert got == want
 
 
+def test_short_copies_count_and_commonplaces_are_not_stitched(spark):
+    parts = [prose(300 + i, 9) for i in range(3)]
+    rows = [(i, f"{prose(400 + i, 60)} {p} {prose(500 + i, 60)}") for i, p in enumerate(parts)] + [(10, f"{prose(600, 60)} {' '.join(parts)} {prose(601, 60)}"), (20, "a short text"), (21, "a short text")]
+    got = {r["doc_id"]: r for r in substring_dedup.repeats(docs_of(spark, rows)).collect()}
+    assert got[21]["repeated_bytes"] == 12 and got[21]["first_doc_ids"] == [20]
+    assert 10 not in got or all(s["end"] - s["start"] <= max(map(len, parts)) + 1 for s in got[10]["spans"])
+
+
+def test_words_are_letters_only():
+    assert lang_id.words_of("½ ² Ⅷ ① 12 _x_ ab²c ÇA") == ["x", "ab", "c", "ça"]
+
+
+def test_scripts_rule_languages_out(spark):
+    model = lang_id.Model(["aa", "bb"], np.zeros((lang_id.BUCKETS, 2)), np.array([[True, False]] + [[False, True]] + [[False, False]] * (len(lang_id.NAMES) - 2)))
+    scores = model.score_words(["long" * 40, "αβγ", "日本"])
+    assert np.isinf(scores[0, 1]) and np.isinf(scores[1, 0]) and np.isfinite(scores[2]).all()
+    labels = lang_id.Labeller(model).spans("latin words then αβγ δεζ again")
+    assert [x[2] for x in labels] == ["aa", "bb", "aa"]
+
+
 # ---- 7: quality --------------------------------------------------------------
 
 def test_quality_held_out_accuracy(spark):
@@ -406,6 +464,38 @@ def test_quality_odd_input(spark, odd, none, sf_dir):
     assert quality.keep(odd, None).count() == len(ODD) and quality.keep(odd, model).columns == odd.columns
 
 
+def test_pooling_and_contexts_against_plain_versions():
+    texts = ["The cat, the cat sat. Ünder 9 x9!", None, "", "one", "a a a b"]
+    index, t = quality.index_vectors(), quality.Tokens()
+    want, pooled = np.zeros((quality.ROWS, quality.SIZE)), []
+    for text in texts:
+        numbers = [quality._number(w) for w in (text or "").split()]
+        words = [n // quality.SHAPES for n in numbers]
+        shapes = [quality.WORDS + (quality.REPEAT if i and words[i] == words[i - 1] else n % quality.SHAPES) for i, n in enumerate(numbers)]
+        for seq in (words, shapes):
+            for i in range(len(seq)):
+                for j in range(max(0, i - quality.NEAR), min(len(seq), i + quality.NEAR + 1)):
+                    if i != j:
+                        want[seq[i]] += index[seq[j]]
+        pooled.append(np.concatenate([np.mean([index[w] for w in seq], axis=0) if seq else np.zeros(quality.SIZE) for seq in (words, shapes)]))
+    assert np.allclose(quality.contexts(t, texts, index), want)
+    assert np.allclose(quality.pooled(t, texts, index), pooled, atol=1e-5)
+
+
+def test_temperature_goes_both_ways_and_lowers_the_loss():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(400, 6))
+    y = (x[:, 0] + 0.1 * draw.normal(size=400) > 0).astype(float)
+    n = quality.Network(x, y)
+    assert n.losses[1] <= n.losses[0]
+    back = (x - n.mean) / n.scale
+    for factor in (0.05, 20.0):
+        n.p[2], n.p[3] = n.p[2] * factor, n.p[3] * factor
+        n.calibrate(back, y)
+        assert (n.temperature < 1) == (factor < 1) and n.losses[1] < n.losses[0]
+        n.p[2], n.p[3] = n.p[2] / factor, n.p[3] / factor
+
+
 # ---- 8: decontamination ------------------------------------------------------
 
 ITEM = "If Alice buys 3 apples for 4 dollars each and Alice then sells 2 pears, how much money does she have left over in the end?"
