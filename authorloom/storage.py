@@ -77,10 +77,25 @@ def sized(df: DataFrame, rows: int, per_file: int = NARROW_ROWS) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_file)))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Queries that run meanwhile delete their shuffle files when they end: for results that are not computed again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again; ``rows``: about how many it has at most."""
     path = scratch(df.sparkSession, name)
-    (df if rows is None else sized(df, rows)).write.parquet(path)
+    with tidy(df.sparkSession):
+        (df if rows is None else sized(df, rows)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
