@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import TEXT_ROWS, cut, delete, discard, free, owned, reclaim, scratch, sized
+from ..storage import TEXT_ROWS, cut, delete, discard, free, owned, reclaim, scratch, sized, tidy
 
-__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "free", "owned", "reclaim", "scratch", "ship", "sized", "map_texts", "slices", "spans", "unused", "WordIds", "worker_state"]
+__all__ = ["TEXT_ROWS", "cut", "delete", "discard", "free", "owned", "reclaim", "scratch", "ship", "sized", "tidy", "map_texts", "slices", "spans", "unused", "WordIds", "worker_state"]
 
 #: Characters of text handled at once inside a Python worker; arrays made of them hold some hundred times as many bytes.
 SLICE_BYTES = 1 << 20
