@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words that normalised titles leave out.
 TITLE_STOP = ["a", "an", "the", "of", "in", "on", "at", "to", "for", "with", "by", "from"]
-#: Letters, digits and underscore of any script; combining marks are not words' parts.
-_NOT_WORD = r"[^\p{L}\p{N}_\s]"
+#: Letters, digits and underscore of any script, and white space of any kind; combining marks are not words' parts.
+_NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
 _SPACE = r"(?U)\s+"
 
 

@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Hex digits of an id: 128 bits, so that ids of different records do not meet; and those shown to people.
+ID_DIGITS, SHOWN_DIGITS = 32, 8
+
+
 def author_id(record_id: Column, prefix: str = "au_") -> Column:
-    return F.concat(F.lit(prefix), F.substring(F.sha2(record_id, 256), 1, 8))
+    return F.concat(F.lit(prefix), F.substring(F.sha2(record_id, 256), 1, ID_DIGITS))
+
+
+def shown(identifier: Column) -> Column:
+    """An id's short form, for display only: it can stand for several."""
+    return F.regexp_replace(identifier, f"_([0-9a-f]{{{SHOWN_DIGITS}}})[0-9a-f]+$", "_$1")
 
 
 def as_set(*columns: Column) -> Column:
@@ -85,5 +94,5 @@ def validate(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_record_ids(records: DataFrame) -> DataFrame:
     """Records with blank ids replaced by ones derived from the row."""
-    made = F.concat(F.lit("rec_"), F.substring(F.sha2(F.to_json(F.struct(*[c for c in records.columns if c != "record_id"])), 256), 1, 8))
+    made = F.concat(F.lit("rec_"), F.substring(F.sha2(F.to_json(F.struct(*[c for c in records.columns if c != "record_id"])), 256), 1, ID_DIGITS))
     return records.withColumn("record_id", T.either("record_id", made))

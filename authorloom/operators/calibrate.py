@@ -17,15 +17,19 @@ BINS = {
 }
 
 
-def positive_pairs(mentions: DataFrame, most: int = 20) -> DataFrame:
-    """(a, b) of mentions of one ORCID: each with the up to ``most`` next in order of a hash.
+def positive_pairs(mentions: DataFrame) -> DataFrame:
+    """(a, b, weight): all pairs of mentions of one ORCID, by classes of equal mentions.
 
-    A stated number of partners keeps this sampling operator linear; up to
-    ``most`` + 1 mentions of an ORCID give all their pairs.
+    Mentions of an ORCID with the same name, affiliation and venue make a class,
+    which its smallest id stands for. Two classes stand for as many pairs as the
+    product of their sizes, a class with itself for the pairs within it. So a
+    person's many lines cost as few rows as they have spellings.
     """
-    rows = mentions.select("mention_id", F.trim(T.text("orcid")).alias("orcid")).where("orcid <> ''").withColumn("h", F.md5("mention_id"))
-    later = F.collect_list("mention_id").over(Window.partitionBy("orcid").orderBy("h", "mention_id").rowsBetween(1, most))
-    return rows.select(F.col("mention_id").alias("a"), later.alias("later")).select("a", F.explode("later").alias("b"))
+    rows = mentions.select("mention_id", F.trim(T.text("orcid")).alias("orcid"), T.text("raw_name").alias("name"), T.text("affiliation").alias("aff"), T.text("venue").alias("venue")).where("orcid <> ''")
+    classes = rows.groupBy("orcid", "name", "aff", "venue").agg(F.min("mention_id").alias("id"), F.count("*").alias("n"))
+    side = lambda k: classes.select("orcid", F.col("id").alias(k), F.col("n").alias(f"n_{k}"))
+    weight = F.when(F.col("a") == F.col("b"), F.expr("n_a * (n_a - 1) div 2")).otherwise(F.col("n_a") * F.col("n_b"))
+    return side("a").join(side("b"), "orcid").where("a <= b").select("a", "b", weight.alias("weight")).where("weight > 0")
 
 
 def negative_pairs(mentions: DataFrame, n: int = 10_000, seed: str = "42") -> DataFrame:
@@ -40,7 +44,8 @@ def negative_pairs(mentions: DataFrame, n: int = 10_000, seed: str = "42") -> Da
 
 
 def pair_features(pairs: DataFrame, mentions: DataFrame, ratio=None) -> DataFrame:
-    """a, b, feature, bin rows. ``ratio`` compares two string columns; Jaro-Winkler unless given."""
+    """a, b, weight, feature, bin rows. ``ratio`` compares two string columns; Jaro-Winkler unless given. Pairs without a weight count once."""
+    pairs = pairs if "weight" in pairs.columns else pairs.withColumn("weight", F.lit(1).cast("long"))
     ratio = ratio or S.jaro_winkler_udf(mentions.sparkSession)
     side = lambda p: mentions.select(F.col("mention_id").alias(p), T.text("raw_name").alias(f"{p}_name"), T.text("orcid").alias(f"{p}_orcid"), T.text("affiliation").alias(f"{p}_aff"), T.text("venue").alias(f"{p}_venue"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -49,12 +54,15 @@ def pair_features(pairs: DataFrame, mentions: DataFrame, ratio=None) -> DataFram
     venue = F.when(F.lower("a_venue") == F.lower("b_venue"), F.when(F.col("a_venue") == "", "different").otherwise("same")).when((F.col("a_venue") != "") & (F.col("b_venue") != "") & (ratio(F.lower("a_venue"), F.lower("b_venue")) > 0.5), "similar").otherwise("different")
     orcid = F.when((F.col("a_orcid") != "") & (F.col("a_orcid") == F.col("b_orcid")), "exact").otherwise("none")
     found = {"name_similarity": configured_bin(name, BINS["name_similarity"]), "orcid_match": orcid, "affiliation_similarity": configured_bin(aff, BINS["affiliation_similarity"]), "venue_similarity": venue}
-    return rows.select("a", "b", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bin")) for k, v in found.items()])).alias("x")).select("a", "b", "x.feature", "x.bin")
+    return rows.select("a", "b", "weight", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bin")) for k, v in found.items()])).alias("x")).select("a", "b", "weight", "x.feature", "x.bin")
 
 
 def table(positive: DataFrame, negative: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """feature, bin, m, u: shares with Laplace smoothing over the bins seen in either, rounded to 6 places."""
-    counts = positive.select("feature", "bin", F.lit(1).alias("p"), F.lit(0).alias("q")).union(negative.select("feature", "bin", F.lit(0), F.lit(1))).groupBy("feature", "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """feature, bin, m, u: shares with Laplace smoothing over the bins seen in either, rounded to 6 places. Rows count by their weight, once without."""
+    weight = lambda rows: F.col("weight") if "weight" in rows.columns else F.lit(1).cast("long")
+    none = F.lit(0).cast("long")
+    both = positive.select("feature", "bin", weight(positive).alias("p"), none.alias("q")).union(negative.select("feature", "bin", none, weight(negative)))
+    counts = both.groupBy("feature", "bin").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     w = Window.partitionBy("feature")
     share = lambda c: F.round((F.col(c) + alpha) / (F.sum(c).over(w) + alpha * F.count("*").over(w)), 6)
     return counts.select("feature", "bin", share("p").alias("m"), share("q").alias("u"))

@@ -24,6 +24,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..shipping import ship
 from . import blocking
+from .authors import ID_DIGITS
 from .components import components
 
 
@@ -98,7 +99,7 @@ def _fold_three_way(accept: float, reject: float, weights: dict, most: int, buck
                 owner = top
                 file(a)
             else:
-                owner = "au_" + hashlib.sha256(r.mention_id.encode()).hexdigest()[:8]
+                owner = "au_" + hashlib.sha256(r.mention_id.encode()).hexdigest()[:ID_DIGITS]
                 authors[owner] = {"id": owner, "name": r.name, "norm": r.norm, "orcid": r.orcid, "surname": r.surname, "initial": r.initial, "coauthors": co, "journals": jo, "blocks": set(r.blocks)}
                 file(authors[owner])
             out.append((r.mention_id, r.seq, kind, 0.0 if top is None else float(score), top if kind == "merge" else None, len(chosen), owner))
@@ -156,7 +157,7 @@ def legacy_replay(records: DataFrame, threshold: float = SIMILARITY_THRESHOLD, w
                 authors[top]["journals"] |= jo
                 out.append((r.record_id, r.seq, "merged", top, score))
             else:
-                new = "au_" + hashlib.sha256(r.record_id.encode()).hexdigest()[:8]
+                new = "au_" + hashlib.sha256(r.record_id.encode()).hexdigest()[:ID_DIGITS]
                 authors[new] = {"norm": r.norm, "coauthors": co, "journals": jo}
                 out.append((r.record_id, r.seq, "new_author", new, max(0.0, score)))
         return pd.DataFrame(out, columns=["record_id", "seq", "decision", "matched_author_id", "score"])

@@ -124,7 +124,8 @@ def legacy_similarity(weights: dict[str, float] = WEIGHTS) -> Column:
 
 
 def scored(compared: DataFrame, mode: str = "baseline", weights: dict = WEIGHTS, mu: dict = MU) -> DataFrame:
-    return compared.withColumn("score", weighted(weights) if mode == "baseline" else fellegi_sunter(mu))
+    """With a score, rounded to 9 places: sums that differ in their last bits only are ties."""
+    return compared.withColumn("score", F.round(weighted(weights) if mode == "baseline" else fellegi_sunter(mu), 9))
 
 
 def best(scores: DataFrame, k: int = 1) -> DataFrame:

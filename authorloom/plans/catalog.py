@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import chinese
 from ..functions import similarity as S
 from ..functions import text as T
@@ -80,7 +81,7 @@ def identifiers(spark, sf_dir):
 
 @query(O.SCRIPTS)
 def script_and_redaction(spark, sf_dir):
-    words = A.read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("w")).distinct()
+    words = A.read(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("w")).distinct()
     r = T.redacted_name("w", "salt")
     return words.select("w", T.script("w").alias("script"), r["hash"].alias("hash"), r["tokens"].alias("tokens"), r["length"].alias("length"), r["has_initial"].alias("has_initial"))
 
@@ -185,7 +186,8 @@ def init_eval_split(spark, sf_dir):
 
 
 def _gold_pred(spark, sf_dir):
-    m = A.mentions(spark, sf_dir).select("mention_id", "raw_name", "firstname", "lastname", "orcid", "venue")
+    columns = ("mention_id", "raw_name", "firstname", "lastname", "orcid", "venue")
+    m = storage.cut(A.mentions(spark, sf_dir).select(*columns), "mentions")  # read several times
     return m, cluster.gold(m), cluster.fini(m)
 
 
@@ -231,13 +233,13 @@ def blocking_key_stats(spark, sf_dir):
 
 @query(O.CANDIDATES)
 def blocking_candidates(spark, sf_dir):
-    m = A.mentions(spark, sf_dir)
+    m = storage.cut(A.mentions(spark, sf_dir), "mentions")
     found = blocking.candidate_lists(A.probes(m, blind=False), A.authors(m))
     return found.select("mention_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"))
 
 
 def _compared(spark, sf_dir, blind=True):
-    m = A.mentions(spark, sf_dir)
+    m = storage.cut(A.mentions(spark, sf_dir), "mentions")  # read several times
     p, a = A.probes(m, blind), A.authors(m)
     return p, a, scoring.compare(scoring.pairs_of(p, a, blocking.candidate_lists(p, a)))
 
@@ -253,36 +255,35 @@ def comparison_vector(spark, sf_dir):
 @query(O.BEST_MATCH)
 def best_match_baseline(spark, sf_dir):
     _, _, c = _compared(spark, sf_dir)
-    return scoring.best(scoring.scored(c)).select("mention_id", "author_id", *_round("score"))
+    return scoring.best(scoring.scored(c)).select("mention_id", "author_id", "score")
 
 
 @query(O.BEST_FS)
 def best_match_fs(spark, sf_dir):
-    """Scores of the best candidate (which may tie to the last bit, so without its id)."""
     _, _, c = _compared(spark, sf_dir, blind=False)
-    return scoring.scored(c, "fs").groupBy("mention_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return scoring.best(scoring.scored(c, "fs")).select("mention_id", "author_id", "score")
 
 
 @query(O.TOP_K)
 def top_k_candidates(spark, sf_dir):
     _, _, c = _compared(spark, sf_dir)
-    return scoring.best(scoring.scored(c), 5).select("mention_id", "rank", F.floor(F.col("score") * 10000 + 0.37).cast("long").alias("score"))  # in ten thousandths: engines round halves differently
+    return scoring.best(scoring.scored(c), 5).select("mention_id", "rank", "author_id", "score")
 
 
 @query(O.DECISIONS)
 def three_way_decision(spark, sf_dir):
     p, _, c = _compared(spark, sf_dir)
     d = scoring.decide(p, scoring.scored(c), accept=0.71171, reject=0.70431)
-    return d.groupBy("decision").agg(F.count("*").alias("mentions"), F.sum("candidate_count").alias("candidates"), F.count("best_author_id").alias("merged"))
+    return d.select("mention_id", "decision", F.col("score_total").alias("score"), "best_author_id", "candidate_count")
 
 
 @query(O.LEGACY)
 def legacy_decision(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
     p, a = A.probes(m), A.authors(m)
-    scores = scoring.pairs_of(p, a, blocking.candidate_lists(p, a)).select("mention_id", "author_id", scoring.legacy_similarity().alias("score"))
+    scores = scoring.pairs_of(p, a, blocking.candidate_lists(p, a)).select("mention_id", "author_id", F.round(scoring.legacy_similarity(), 9).alias("score"))
     top = scores.groupBy("mention_id").agg(F.max("score").alias("score"))
-    return top.select("mention_id", F.round("score", 6).alias("score"), scoring.legacy_decision(F.col("score"), 0.71031).alias("decision"))
+    return top.select("mention_id", "score", scoring.legacy_decision(F.col("score"), 0.71031).alias("decision"))
 
 
 def _true_scores(spark, sf_dir):
@@ -292,8 +293,6 @@ def _true_scores(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir):
-    from .. import storage
-
     scores, known = _true_scores(spark, sf_dir)
     scores = storage.cut(scores, "scores")  # each mention is scored once for all variants
     out = None
@@ -426,13 +425,13 @@ def mu_calibration(spark, sf_dir):
     negative = m.select("mention_id", "person", "firstname", F.md5("mention_id").alias("h")).where("orcid <> ''")
     first = negative.groupBy("firstname").agg(F.min_by("mention_id", "h").alias("a"))
     pairs = negative.join(first, "firstname").where("mention_id <> a").join(m.select(F.col("mention_id").alias("a"), F.col("person").alias("pa")), "a").where("person <> pa").select("a", F.col("mention_id").alias("b"))
-    return calibrate.table(feats(calibrate.positive_pairs(m, 3)), feats(pairs))
+    return calibrate.table(feats(calibrate.positive_pairs(m)), feats(pairs))
 
 
 @query()
 def mu_calibration_jaro_winkler(spark, sf_dir):
     m = A.mentions(spark, sf_dir)
-    return calibrate.table(calibrate.pair_features(calibrate.positive_pairs(m, 3), m), calibrate.pair_features(calibrate.negative_pairs(m), m))
+    return calibrate.table(calibrate.pair_features(calibrate.positive_pairs(m), m), calibrate.pair_features(calibrate.negative_pairs(m), m))
 
 
 @query(O.STRESS)
@@ -496,8 +495,6 @@ def incremental_replay(spark, sf_dir):
 @query()
 def incremental_snapshots(spark, sf_dir):
     """Two batches: the second is decided against the authors that the first left."""
-    from .. import storage
-
     m = A.probes(A.mentions(spark, sf_dir)).withColumn("early", F.md5("mention_id") < "8")
     early, late = m.where("early"), m.where(~F.col("early"))
     none = spark.createDataFrame([], micro_batches._AUTHORS)

@@ -53,7 +53,7 @@ IDENTIFIERS = """SELECT c_custkey AS k, lpad(CAST(c_custkey AS VARCHAR), 8, '0')
   CASE WHEN c_custkey % 6 = 0 THEN 'Ann Lee' WHEN c_custkey % 2 = 0 THEN 'Ann' WHEN c_custkey % 3 = 0 THEN 'Lee' ELSE 'Unknown Author' END AS full_name
 FROM customer"""
 
-SCRIPTS = f"""WITH words AS (SELECT DISTINCT unnest({_tokens("split_part(text, chr(10), 1)")}) AS w FROM documents),
+SCRIPTS = f"""WITH words AS (SELECT DISTINCT unnest({_tokens("text")}) AS w FROM documents),
 n AS (SELECT w, length(regexp_replace(w, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(w, '[^А-Яа-я]', '', 'g')) AS c, length(regexp_replace(w, '[^一-鿿]', '', 'g')) AS j FROM words)
 SELECT w, CASE WHEN l + c + j = 0 THEN 'other' WHEN l / (l + c + j) > 0.7 THEN 'latin' WHEN c / (l + c + j) > 0.7 THEN 'cyrillic' WHEN j / (l + c + j) > 0.7 THEN 'cjk' ELSE 'mixed' END AS script,
   substr(sha256(w || '||salt'), 1, 16) AS hash, 1 AS tokens, length(w) AS length, regexp_matches(w, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z]\\.$') AS has_initial FROM n"""
@@ -155,20 +155,20 @@ pre AS (SELECT mention_id, author_id, m.person, a.seq AS author_person, {_LEV('m
   CASE WHEN list_contains(a.affiliations, m.affiliation) THEN 1.0::DOUBLE ELSE list_max(list_transform(a.affiliations, lambda y: {_LEV('lower(m.affiliation)', 'lower(y)')})) END AS affiliation_sim
   FROM cand JOIN mention m USING (mention_id) JOIN author a USING (author_id)),
 cmp AS (SELECT *, {', '.join(_bins(f, BINS[f]) for f in ('name', 'coauthor', 'journal', 'affiliation'))}, CASE WHEN orcid_match THEN 'match' ELSE 'missing' END AS orcid_bin,
-  name_sim * 0.5::DOUBLE + coauthor_sim * 0.3::DOUBLE + journal_sim * 0.2::DOUBLE AS score FROM pre)"""
+  round(name_sim * 0.5::DOUBLE + coauthor_sim * 0.3::DOUBLE + journal_sim * 0.2::DOUBLE, 9) AS score FROM pre)"""
 
 
 COMPARISONS = f"{_compared(False)} SELECT name_bin, orcid_bin, coauthor_bin, journal_bin, affiliation_bin, count(*) AS pairs, round(avg(name_sim), 6) AS name_sim, round(avg(coauthor_sim), 6) AS coauthor_sim, round(avg(journal_sim), 6) AS journal_sim, round(avg(affiliation_sim), 6) AS affiliation_sim FROM cmp GROUP BY ALL"
 _BEST = "best AS (SELECT * FROM cmp QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id) <= 1)"
-BEST_MATCH = f"{_compared(True)}, {_BEST} SELECT mention_id, author_id, round(score, 6) AS score FROM best"
+BEST_MATCH = f"{_compared(True)}, {_BEST} SELECT mention_id, author_id, score FROM best"
 _FS = " + ".join(f"CASE {f}_bin {' '.join(f'''WHEN '{b}' THEN {log_ratio(*mu)!r}::DOUBLE''' for b, mu in MU[f].items())} ELSE 0 END" for f in ("name", "orcid", "coauthor", "journal", "affiliation"))
-BEST_FS = f"{_compared(False)} SELECT mention_id, round(max({_FS}), 6) AS score FROM cmp GROUP BY mention_id"
-TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, CAST(floor(score * 10000::DOUBLE + 0.37::DOUBLE) AS BIGINT) AS score FROM cmp QUALIFY rank <= 5"
+BEST_FS = f"{_compared(False)} SELECT mention_id, author_id, fs AS score FROM (SELECT mention_id, author_id, round({_FS}, 9) AS fs FROM cmp) QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY fs DESC, author_id) = 1"
+TOP_K = f"{_compared(True)} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, author_id)::INTEGER AS rank, author_id, score FROM cmp QUALIFY rank <= 5"
 _KIND = lambda accept, reject: f"CASE WHEN score IS NULL THEN 'new' WHEN score >= {accept} THEN 'merge' WHEN score <= {reject} THEN 'new' ELSE 'unknown' END"
 DECISIONS = f"""{_compared(True)}, {_BEST}, n AS (SELECT mention_id, count(*) AS c FROM cmp GROUP BY mention_id),
-d AS (SELECT {_KIND(0.71171, 0.70431)} AS decision, coalesce(c, 0) AS c FROM mention LEFT JOIN best USING (mention_id) LEFT JOIN n USING (mention_id))
-SELECT decision, count(*) AS mentions, sum(c)::BIGINT AS candidates, count(*) FILTER (decision = 'merge') AS merged FROM d GROUP BY decision"""
-LEGACY = f"{_compared(True, '1.0')} SELECT mention_id, round(max(score), 6) AS score, CASE WHEN max(score) >= 0.71031 THEN 'merged' ELSE 'new_author' END AS decision FROM cmp GROUP BY mention_id"
+d AS (SELECT mention_id, author_id, score, {_KIND(0.71171, 0.70431)} AS decision, coalesce(c, 0) AS candidate_count FROM mention LEFT JOIN best USING (mention_id) LEFT JOIN n USING (mention_id))
+SELECT mention_id, decision, coalesce(score, 0) AS score, CASE WHEN decision = 'merge' THEN author_id END AS best_author_id, candidate_count FROM d"""
+LEGACY = f"{_compared(True, '1.0')} SELECT mention_id, max(score) AS score, CASE WHEN max(score) >= 0.71031 THEN 'merged' ELSE 'new_author' END AS decision FROM cmp GROUP BY mention_id"
 
 
 def _sweep() -> str:
@@ -225,8 +225,7 @@ def _calibration() -> str:
   {{'feature': 'orcid_match', 'bin': o}}, {{'feature': 'affiliation_similarity', 'bin': CASE WHEN f >= 0.95 THEN 'exact' WHEN f >= 0.7 THEN 'high' WHEN f >= 0.4 THEN 'partial' ELSE 'none' END}}, {{'feature': 'venue_similarity', 'bin': v}}]) AS x
   FROM (SELECT {name} AS s, {aff} AS f, CASE WHEN x.orcid <> '' AND x.orcid = y.orcid THEN 'exact' ELSE 'none' END AS o, CASE WHEN x.venue = y.venue THEN 'same' WHEN {venue} > 0.5 THEN 'similar' ELSE 'different' END AS v FROM {p} JOIN mention x ON x.mention_id = a JOIN mention y ON y.mention_id = b)"""
     return f"""{M}, l AS (SELECT mention_id, person, firstname, orcid, md5(mention_id) AS h FROM mention WHERE orcid <> ''),
-seqd AS (SELECT mention_id, lead(mention_id, 1) OVER w AS b1, lead(mention_id, 2) OVER w AS b2, lead(mention_id, 3) OVER w AS b3 FROM l WINDOW w AS (PARTITION BY orcid ORDER BY h, mention_id)),
-pos AS (SELECT a, b FROM (SELECT mention_id AS a, unnest([b1, b2, b3]) AS b FROM seqd) WHERE b IS NOT NULL),
+pos AS (SELECT x.mention_id AS a, y.mention_id AS b FROM l x JOIN l y USING (orcid) WHERE x.mention_id < y.mention_id),
 firsts AS (SELECT firstname, arg_min(mention_id, h) AS a FROM l GROUP BY firstname),
 neg AS (SELECT f.a, l.mention_id AS b FROM l JOIN firsts f USING (firstname) JOIN mention z ON z.mention_id = f.a WHERE l.mention_id <> f.a AND l.person <> z.person),
 u AS (SELECT x.feature AS feature, x.bin AS bin, 1 AS p, 0 AS q FROM ({feats('pos')}) UNION ALL SELECT x.feature, x.bin, 0, 1 FROM ({feats('neg')})),

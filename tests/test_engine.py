@@ -1,5 +1,6 @@
 """Blocking, scoring, decisions, traces, dedup, graph, clusters, metrics and incremental runs."""
 
+import hashlib
 import json
 import random
 
@@ -247,6 +248,21 @@ def test_decision_scores(spark):
 
 # ---- calibration, stress, registry -------------------------------------------
 
+def test_ids_tell_records_apart_whose_short_forms_meet(spark):
+    from authorloom.operators import authors
+
+    first = {}
+    for i in range(300_000):
+        short = hashlib.sha256(f"r{i}".encode()).hexdigest()[:8]
+        if short in first:
+            break
+        first[short] = i
+    pair = [f"r{first[short]}", f"r{i}"]
+    rows = spark.createDataFrame([(x,) for x in pair], "record_id string").select(authors.author_id(F.col("record_id")).alias("id"))
+    got = rows.select("id", authors.shown(F.col("id")).alias("shown")).collect()
+    assert len({r["id"] for r in got}) == 2 and len({r["shown"] for r in got}) == 1 and got[0]["shown"] == f"au_{short}"
+
+
 def test_calibration(spark):
     pos = spark.createDataFrame([("f", "exact")] * 3 + [("f", "none")], "feature string, bin string")
     neg = spark.createDataFrame([("f", "none")] * 2, "feature string, bin string")
@@ -254,7 +270,14 @@ def test_calibration(spark):
     assert got == {"exact": (round(4 / 6, 6), 0.25), "none": (round(2 / 6, 6), 0.75)}
     assert "exact" in calibrate.to_yaml(calibrate.table(pos, neg))
     ms = spark.createDataFrame([(f"m{i}", "Ann Lee", "", "", f"o{i % 4}", "MIT", "Nature", i) for i in range(12)], MENTIONS)
-    assert calibrate.positive_pairs(ms).count() == 4 * 3
+    assert sum(r["weight"] for r in calibrate.positive_pairs(ms).collect()) == 4 * 3
+    mixed = spark.createDataFrame([(f"m{i}", ["Ann Lee", "A. Lee", "Ann  Lee"][i % 3], "", "", "o1" if i < 9 else "", "MIT" if i % 2 else "", "Nature", i) for i in range(12)], MENTIONS)
+    rows = [r.asDict() for r in mixed.collect()]
+    keys = lambda r: (r["raw_name"], r["affiliation"], r["venue"])
+    plain = sorted(tuple(sorted((keys(x), keys(y)))) for i, x in enumerate(rows) for y in rows[:i] if x["orcid"] and x["orcid"] == y["orcid"])
+    names = {r["mention_id"]: keys(r) for r in rows}
+    got = sorted(tuple(sorted((names[r["a"]], names[r["b"]]))) for r in calibrate.positive_pairs(mixed).collect() for _ in range(r["weight"]))
+    assert got == plain
     assert all(a[-1] != b[-1] or int(a[1:]) % 4 != int(b[1:]) % 4 for a, b in (tuple(r) for r in calibrate.negative_pairs(ms, 20).collect()))
     feats = calibrate.pair_features(calibrate.positive_pairs(ms), ms)
     assert {(r["feature"], r["bin"]) for r in feats.collect()} == {("name_similarity", "exact"), ("orcid_match", "exact"), ("affiliation_similarity", "exact"), ("venue_similarity", "same")}
