@@ -76,3 +76,25 @@ def test_stage_drops_copies_beyond_two_bits(spark, sf_dir):
     assert (a ^ b).bit_count() > 2 and 5 * len(plain_set(text) & plain_set(other)) >= 4 * len(plain_set(text) | plain_set(other))
     kept = corpus_pipeline.simhash_stage(spark, docs_of(spark, [(1, text), (2, other), (3, prose(2, 120))]), sf_dir)
     assert {r["doc_id"] for r in kept.collect()} == {1, 3}
+
+
+def test_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts that share a long passage, some of them near copies of each other as well, of sizes around the bound."""
+    rng = random.Random(7)
+    passage, rows = prose(50, 60).split(), []
+    for b in range(60):
+        own = [f"o{b}x{i}" for i in range(rng.randrange(20, 50))]
+        rows.append((len(rows), " ".join(own + passage)))
+        for _ in range(b % 3):
+            rows.append((len(rows), " ".join([*own, *passage, *(f"e{rng.randrange(999)}" for _ in range(rng.randrange(0, 30)))])))
+    tried, linked = [], jaccard._linked
+
+    def counted(pairs, sets):
+        tried.append(pairs.count())
+        return linked(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs_of(spark, rows)).collect()}
+    want = plain_groups(rows)
+    assert got == want and 60 <= len(set(want.values())) < len(rows)
+    assert tried[-1] < 2 * len(rows) < len(rows) * (len(rows) - 1) / 20
