@@ -41,7 +41,7 @@ def plain(rows):
     return sorted([tuple(x.isoformat() if isinstance(x, datetime.date) else x for x in r) for r in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", ["b_cubed", "pairwise", "conflict_rate", "subset_metrics"])
+@pytest.mark.parametrize("name", ["b_cubed", "pairwise", "conflict_rate", "subset_metrics", "string_baselines"])
 def test_lines_that_share_an_id(spark, twins, name):
     sf_dir, con = twins
     ids = entry.queries()["trace_redacted"](spark, sf_dir).groupBy("mention_id").count().where("count > 1").count()
