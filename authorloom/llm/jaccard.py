@@ -66,8 +66,9 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
     """doc_id, node (digest of the set), n, hashes.
 
     The hashes are all of the set (``whole``), or the first ones, of which a linked
-    set shares one; ``wide``: all of a set with one of ``hot`` among its first ones,
-    else none.
+    set shares one; ``wide``: the upper halves of all of a set with one of ``hot``
+    among its first ones, else none. ``hot`` are upper halves too: a hash that
+    shares one by chance goes last as well, which changes no result.
     """
 
     def make():
@@ -84,9 +85,11 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
                     out["digest"].append(parities(h))
                 first = n - -(-NUM * n // DEN) + 1 if n else 0
                 if late is not None:
-                    last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    upper = (h >> np.uint64(32)).astype(np.uint32)
+                    last = late[np.minimum(np.searchsorted(late, upper), len(late) - 1)] == upper
                     if wide:
-                        first = n if last[:first].any() else 0
+                        out["hashes"].append(upper[: n if last[:first].any() else 0].view(np.int32))
+                        continue
                     else:
                         h = np.concatenate([h[~last], h[last]])
                 out["hashes"].append(h[: n if whole else first].view(np.int64))
@@ -94,7 +97,7 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
 
         return f
 
-    return common.map_texts(docs, make, "doc_id long, node long, n int, hashes array<long>" + ", digest binary" * whole, key, text)
+    return common.map_texts(docs, make, f"doc_id long, node long, n int, hashes array<{'int' if wide else 'long'}>" + ", digest binary" * whole, key, text)
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -136,10 +139,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda c, value: sets.select(F.col("node").alias(c), *value)
     size = lambda c: (F.col("n").alias(f"n_{c}"), F.col("digest").alias(f"digest_{c}"))
     both = pairs.join(side("a", size("a")), "a").join(side("b", size("b")), "b").select("a", "b", "n_a", "n_b", "digest_a", "digest_b")
-    likely = both.mapInArrow(_pruned, "a long, b long")
+    likely = common.cut(both.mapInArrow(_pruned, "a long, b long"), "likely")
+    # only the sets that are still compared are dealt out for it
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = common.cut(sets.select("node", "hashes").join(nodes, "node", "left_semi"), "compared")
     full = likely.join(side("a", [F.col("hashes").alias("a_set")]), "a").join(side("b", [F.col("hashes").alias("b_set")]), "b")
     common_n = F.size(F.array_intersect("a_set", "b_set"))
-    return full.where((DEN + NUM) * common_n >= NUM * (F.size("a_set") + F.size("b_set"))).select("a", "b")
+    linked = common.cut(full.where((DEN + NUM) * common_n >= NUM * (F.size("a_set") + F.size("b_set"))).select("a", "b"), "linked")
+    common.discard(likely, sets)
+    return linked
 
 
 def _band(n) -> Column:
@@ -169,10 +177,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     emitted = lambda sets: sets.join(firsts, "node").where("doc_id = first").dropDuplicates(["node"]).select("node", "n", F.posexplode("hashes").alias("i", "h"))
 
     def commonest(sets: DataFrame):
-        """The HOT_KEYS commonest hashes at most, sorted."""
+        """The upper halves of the HOT_KEYS commonest hashes at most, sorted: half as much to deal out."""
+        upper = F.col("h") if dict(sets.dtypes)["hashes"] == "array<int>" else F.shiftright("h", 32).cast("int")
         with common.tidy(spark):
-            often = emitted(sets).groupBy("h").count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h").toPandas()  # HOT_KEYS bounds it
-        return np.sort(often["h"].to_numpy(np.int64).view(np.uint64))
+            often = emitted(sets).groupBy(upper.alias("h")).count().where(F.col("count") > COMMON).orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h").toPandas()  # HOT_KEYS bounds it
+        return np.sort(often["h"].to_numpy(np.int32).view(np.uint32))
 
     first_hot = commonest(marked)
     if len(first_hot):
@@ -187,8 +196,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     common.reclaim(spark)
     # sets in full of the nodes that share a bucket
     sharing = dealt.select("node").distinct().join(firsts, "node").select("node", F.col("first").alias("_first"))
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sharing.select("_first").distinct(), F.col("_key") == F.col("_first"), "left_semi")
-    sets = common.cut(_sets(texts, "_key", "_text", True).join(sharing.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "digest", "hashes"), "full")
+    # a node goes with the rows of its first key, so that sets are not dealt out to be found; of a key's rows, those of another set go by the digest
+    texts = docs.select(F.col(key).alias("_first"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")).join(sharing, "_first").dropDuplicates(["_first", "node", "_hash"])
+    sets = common.cut(_sets(texts, "node", "_text", True).where("doc_id = node").select("node", "n", "digest", "hashes"), "full")
     common.reclaim(spark)
     fits = (F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM) & (F.col("root") != F.col("root2"))
     pairs = lambda rows: rows.where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()

@@ -98,3 +98,21 @@ def test_shared_passage_makes_few_pairs(spark, monkeypatch):
     want = plain_groups(rows)
     assert got == want and 60 <= len(set(want.values())) < len(rows)
     assert tried[-1] < 2 * len(rows) < len(rows) * (len(rows) - 1) / 20
+
+
+def test_sets_are_dealt_out_only_where_they_are_compared(spark, monkeypatch):
+    """Of texts that share a common line and are far from alike, no set is dealt out in full; rows that repeat a key are found."""
+    line = prose(70, 9)
+    rows = [(i, " ".join(f"q{i}x{j}" for j in range(60)) + " " + line) for i in range(40)]
+    rows += [(100, rows[0][1] + " other"), (1, rows[3][1] + " more"), (1, rows[1][1])]
+    written, cut = {}, jaccard.common.cut
+
+    def counted(df, name, *args):
+        out = cut(df, name, *args)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.common, "cut", counted)
+    got = jaccard.near_duplicates(docs_of(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 1} == {i: {100: 0, 3: 1}.get(i, i) for i in {r[0] for r in rows} - {1}}
+    assert max(written["compared"]) <= 4
