@@ -9,7 +9,9 @@ Texts with equal sets collapse first. A set of n shingles emits the n - ceil(4n/
 the hashes, with the commonest (at most ``HOT_KEYS``) last. Those are counted
 over whole sets, of all sets that emit a common hash: of a passage that many
 texts share, no shingle is left to fill the buckets when others have gone last.
-In ``ROUNDS`` rounds all sets in a bucket of one hash are compared with one hub,
+First the sets' SimHash fingerprints are linked (``simhash.close``), and the links that the
+sets confirm connect near copies. Then, as fingerprints can leave sets apart that link,
+in ``ROUNDS`` rounds all sets in a bucket of one hash are compared with one hub,
 drawn by hash; sets that this connects need no further pairs. Only buckets that
 still hold sets of different components are paired, across components, and only
 where the two could link with the bucket's hash as the first they share: with i
@@ -75,7 +77,7 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
         late = hot.value if hot is not None else None
 
         def f(ids, texts):
-            out = {c: [] for c in ("node", "n", "hashes")} | ({"digest": []} if whole else {})
+            out = {c: [] for c in ("node", "n", "hashes")} | ({"digest": [], "fp": []} if whole else {})
             for t in texts:
                 h = shingles(t)
                 n = len(h)
@@ -83,6 +85,7 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
                 out["n"].append(n)
                 if whole:
                     out["digest"].append(parities(h))
+                    out["fp"].append(simhash.fingerprint(h).view(np.int64))
                 first = n - -(-NUM * n // DEN) + 1 if n else 0
                 if late is not None:
                     upper = (h >> np.uint64(32)).astype(np.uint32)
@@ -97,7 +100,7 @@ def _sets(docs: DataFrame, key: str, text: str, whole: bool, hot=None, wide: boo
 
         return f
 
-    return common.map_texts(docs, make, f"doc_id long, node long, n int, hashes array<{'int' if wide else 'long'}>" + ", digest binary" * whole, key, text)
+    return common.map_texts(docs, make, f"doc_id long, node long, n int, hashes array<{'int' if wide else 'long'}>" + ", digest binary, fp long" * whole, key, text)
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -198,15 +201,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sharing = dealt.select("node").distinct().join(firsts, "node").select("node", F.col("first").alias("_first"))
     # a node goes with the rows of its first key, so that sets are not dealt out to be found; of a key's rows, those of another set go by the digest
     texts = docs.select(F.col(key).alias("_first"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash")).join(sharing, "_first").dropDuplicates(["_first", "node", "_hash"])
-    sets = common.cut(_sets(texts, "node", "_text", True).where("doc_id = node").select("node", "n", "digest", "hashes"), "full")
+    sets = common.cut(_sets(texts, "node", "_text", True).where("doc_id = node").select("node", "n", "fp", "digest", "hashes"), "full")
     common.reclaim(spark)
     fits = (F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM) & (F.col("root") != F.col("root2"))
     pairs = lambda rows: rows.where(fits).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     other = F.struct(F.col("node").alias("node2"), F.col("n").alias("m"), F.col("root").alias("root2"))
     edges = None
-    for r in range(ROUNDS):
-        hubs = dealt.groupBy("h").agg(F.min_by(other, F.struct(F.xxhash64(F.lit(r), "h", "node"), "node")).alias("hub"))
-        tried = pairs(dealt.join(hubs, "h").select("node", "n", "root", "hub.*"))
+    for r in range(ROUNDS + 1):
+        if r:
+            hubs = dealt.groupBy("h").agg(F.min_by(other, F.struct(F.xxhash64(F.lit(r - 1), "h", "node"), "node")).alias("hub"))
+            tried = pairs(dealt.join(hubs, "h").select("node", "n", "root", "hub.*"))
+        else:  # sets that link share a bucket, so these fingerprints are all that can
+            tried = simhash.close(sets.where("n > 0").select("node", "fp"), count)
         new = _linked(tried, sets)
         edges = common.cut(new if edges is None else edges.union(new), "links", count)
         known = dealt.drop("root").join(components(edges, count), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -73,15 +73,19 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half of the hashes have; zero of none."""
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return (weights * (_bit_counts(hashes.astype("<u8")) * 2 > len(hashes))).sum(dtype=np.uint64)
+
+
 def fingerprints_of(texts: list[str | None]) -> np.ndarray:
     """Unsigned 64-bit fingerprints."""
     out = np.zeros(len(texts), np.uint64)
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for k, text in enumerate(texts):
         hashes = _hashes(text) if text else []
         if hashes:
-            counts = _bit_counts(np.array(hashes, "<u8"))
-            out[k] = (weights * (counts * 2 > len(hashes))).sum(dtype=np.uint64)
+            out[k] = fingerprint(np.array(hashes, np.uint64))
     return out
 
 
@@ -146,6 +150,15 @@ def links(distinct: DataFrame, n: int, pair_limit: int = PAIR_LIMIT) -> DataFram
     return pairs.union(starred)
 
 
+def close(nodes: DataFrame, n: int, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """(a, b) pairs of nodes (node, fp; n of them at most): enough to connect all whose fingerprints are equal or link."""
+    distinct = common.cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct", n)
+    equal = nodes.join(distinct, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: distinct.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    linked = links(distinct.select("fp"), n, pair_limit).distinct().join(side("a"), "a").join(side("b"), "b")
+    return equal.union(linked.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: one row for each input row."""
     marked = common.cut(fingerprints(docs, key, text), "simhash")
@@ -173,11 +186,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def keep_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, one of each group of texts whose sets of 5-word shingles are alike by 0.8 or more.
 
-    A fingerprint of 64 bits cannot find those: sets of a Jaccard similarity of
-    0.8 differ in some 10 of 64 bits, as far as many unrelated ones. So wider
-    digests (parities of the set, two bits a shingle), which bound the
-    sets' difference from below, take the fingerprint's place in the pigeonring
-    filter, and the sets themselves that of the Hamming check (``jaccard``).
+    Fingerprints of those sets are linked as in ``near_duplicates`` (segments in a
+    ring, chains, two bits), and the links that the sets confirm in full connect near
+    copies. A fingerprint of 64 bits cannot find all pairs: sets of a Jaccard similarity
+    of 0.8 differ in some 10 of 64 bits, as far as many unrelated ones. So an exact
+    way follows for the sets that the fingerprints leave apart (``jaccard``).
     """
     from . import jaccard  # which uses this module's words
 

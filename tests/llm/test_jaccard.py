@@ -116,3 +116,28 @@ def test_sets_are_dealt_out_only_where_they_are_compared(spark, monkeypatch):
     got = jaccard.near_duplicates(docs_of(spark, rows)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != 1} == {i: {100: 0, 3: 1}.get(i, i) for i in {r[0] for r in rows} - {1}}
     assert max(written["compared"]) <= 4
+
+
+def test_fingerprints_propose_near_copies(spark, monkeypatch):
+    """The first pairs compared in full are those whose SimHash fingerprints link; copies further off are found all the same."""
+    rng = random.Random(5)
+    rows, near = [], set()
+    for b in range(30):
+        words = prose(b, 400).split()
+        rows += [(10 * b, " ".join(words)), (10 * b + 1, " ".join([*words, f"tail{b}"])), (10 * b + 2, edited(words, rng, 5))]
+    fps = {k: int(simhash.fingerprint(jaccard.shingles(t))) for k, t in rows}
+    node = {k: jaccard.xxhash.xxh64_intdigest(jaccard.shingles(t).tobytes(), 42) for k, t in rows}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for a in fps:
+        near |= {tuple(sorted((signed(node[a]), signed(node[b])))) for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    tried, linked = [], jaccard._linked
+
+    def kept(pairs, sets):
+        tried.append({tuple(sorted(r)) for r in pairs.collect()})
+        return linked(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_linked", kept)
+    stage = corpus_pipeline.simhash_stage(spark, docs_of(spark, rows), "").collect()
+    assert {r["doc_id"] for r in stage} == set(plain_groups(rows).values())
+    assert 20 < len(tried[0]) and tried[0] <= near  # equal fingerprints are linked to one of them
+    assert not tried[0] & tried[1]  # what they linked is not compared again
