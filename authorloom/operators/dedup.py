@@ -41,32 +41,68 @@ def fuzzy_pairs(titles: DataFrame, least: float = FUZZY, mode: str = "indel") ->
     """(a, b) of titles (column title, distinct) with a ratio of ``least`` or more, a < b.
 
     Two ways to ratio: ``indel`` (edits) or ``token`` (word sets). For token
-    sets, similar ones share one of the rarest words of each (prefix filter).
-    For indel, similar ones share a segment, up to a shift (``_segments``).
+    sets, similar ones share one of the rarest words of each (prefix filter, ``_token_pairs``).
+    For indel, the longer holds a segment of the shorter, up to a shift (``_segments``).
     Either way candidates come from an equi-join and the ratio is verified.
     """
     if mode == "token":
-        words = titles.select("title", F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != "")).alias("words"))
-        rare = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-        spread = words.select("title", F.size("words").alias("n"), F.explode("words").alias("w")).join(rare, "w")
-        # similarity t needs a common word among the n - ceil(t n) + 1 rarest of each
-        listed = spread.groupBy("title", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-        keys = listed.select("title", "n", F.explode(F.slice("ws", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("x")).select("title", "n", F.col("x.w").alias("key"))
-        length_ok = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
-        ratio = S.token_ratio("a", "b")
-    else:
-        spread = _segments(titles, least)
-        keys = spread
-        length_ok = F.lit(True)
-        ratio = S.indel_ratio_udf(titles.sparkSession)("a", "b")
-    left = keys.select(F.col("title").alias("a"), "key", *(["n"] if mode == "token" else []))
-    right = keys.select(F.col("title").alias("b"), "key", *([F.col("n").alias("m")] if mode == "token" else []))
-    met = left.join(right, "key").where("a < b").where(length_ok).select("a", "b").distinct()
-    return met.where(ratio >= least)
-
-
-def _segments(titles: DataFrame, least: float) -> DataFrame:
-    """title, key: titles within the ratio share a key.
+        return _token_pairs(titles, least)
+    own, looked = _segments(titles, least)
+    n, m = F.length("x"), F.length("y")
+    met = own.withColumnRenamed("title", "x").join(looked.withColumnRenamed("title", "y"), "key").where((n < m) | ((n == m) & (F.col("x") < F.col("y"))))
+    # edits that may substitute are never more than those that insert and delete
+    near = met.where(F.levenshtein("x", "y") <= (1 - least) * (n + m) + _SLACK)
+    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.where(S.indel_ratio_udf(titles.sparkSession)("a", "b") >= least)
+
+
+#: For bounds that are products of doubles.
+_SLACK = 1e-9
+#: Words of 64 bits in a digest of a title's words.
+_DIGEST = 4
+
+
+def _token_pairs(titles: DataFrame, least: float) -> DataFrame:
+    """``fuzzy_pairs`` by word sets.
+
+    Words are hashes, ordered by how many titles have them. Similarity t needs a common
+    word among the n - ceil(t n) + 1 rarest of each. A pair is tried where the
+    word, with i and j rarer ones before it, could be the first they share: then they share min(n - i, m - j)
+    at most, and t (n + m) / (1 + t) are needed. Digests, parities of the words' bits, differ in no
+    more bits than the sets in words; pairs over the bound, (1 - t) (n + m) / (1 + t), go
+    before the sets are compared. Titles are numbered and join last.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""))
+    rows = storage.cut(titles.select(F.monotonically_increasing_id().alias("id"), "title"), "titles")
+    spread = rows.select("id", F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
+    ordered = spread.join(spread.groupBy("w").agg(F.count("*").alias("df")), "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    bits = [F.expr(f"aggregate(words, 0L, (x, w) -> x ^ IF((w & {_DIGEST - 1}) = {k}, shiftleft(1L, CAST(shiftrightunsigned(w, 8) & 63 AS INT)), 0L))").alias(f"d{k}") for k in range(_DIGEST)]
+    sets = storage.cut(ordered.select("id", F.size("ws").alias("n"), F.col("ws.w").alias("words")).select("*", *bits), "words")
+    met = _token_candidates(sets, least)
+    n, m = F.col("n"), F.col("m")
+    full = met.join(sets.select("id", "n", "words"), "id").join(sets.select(F.col("id").alias("id2"), n.alias("m"), F.col("words").alias("others")), "id2")
+    shared = F.size(F.array_intersect("words", "others"))
+    good = full.where(shared / (n + m - shared) >= least).select("id", "id2")
+    named = good.join(rows.withColumnRenamed("title", "x"), "id").join(rows.select(F.col("id").alias("id2"), F.col("title").alias("y")), "id2")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _token_candidates(sets: DataFrame, least: float) -> DataFrame:
+    """(id, id2) of sets (id, n, words in order, digest) that could be alike by ``least``, the smaller first."""
+    digest = [f"d{k}" for k in range(_DIGEST)]
+    first = (F.col("n") - F.ceil(F.col("n") * least - _SLACK) + 1).cast("int")
+    keys = sets.select("id", "n", *digest, F.posexplode(F.slice("words", F.lit(1), first)).alias("i", "key"))
+    right = keys.select("key", F.col("id").alias("id2"), F.col("n").alias("m"), F.col("i").alias("j"), *[F.col(d).alias(f"other_{d}") for d in digest])
+    n, m = F.col("n"), F.col("m")
+    once = (n < m) | ((n == m) & (F.col("id") < F.col("id2")))
+    able = F.least(n - F.col("i"), m - F.col("j")) >= (n + m) * (least / (1 + least)) - _SLACK
+    apart = sum((F.bit_count(F.col(d).bitwiseXOR(F.col(f"other_{d}"))) for d in digest), F.lit(0))
+    near = apart <= (n + m) * ((1 - least) / (1 + least)) + _SLACK
+    return keys.join(right, "key").where(once & (n >= m * least - _SLACK) & able & near).select("id", "id2").distinct()
+
+
+def _segments(titles: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(title, key) of own segments and of those looked up: of titles within the ratio, the longer looks up one of the shorter's.
 
     A ratio of t over lengths n <= m allows d = (1 - t)(n + m) insertions and
     deletions, and m <= n (2 - t) / t. Cut the shorter into d + 1 segments: one
@@ -74,17 +110,17 @@ def _segments(titles: DataFrame, least: float) -> DataFrame:
     up at all shifts, for every length the shorter may have.
     """
     n = F.length("title")
-    most = lambda size: F.floor((1 - least) * (size + F.floor(size * (2 - least) / least))).cast("int")
+    most = lambda size: F.floor((1 - least) * (size + F.floor(size * (2 - least) / least + _SLACK)) + _SLACK).cast("int")
     indexed = titles.select("title", n.alias("n"), (most(n) + 1).alias("parts"))
     cut_at = lambda size, parts, i: F.floor(size * i / parts).cast("int")
     own = indexed.select("title", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.xxhash64("n", i, F.substring("title", cut_at(F.col("n"), F.col("parts"), i) + 1, cut_at(F.col("n"), F.col("parts"), i + 1) - cut_at(F.col("n"), F.col("parts"), i))))).alias("key"))
-    shortest = F.ceil(n * least / (2 - least)).cast("int")
+    shortest = F.ceil(n * least / (2 - least) - _SLACK).cast("int")
     probes = titles.select("title", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), n)).alias("s")).withColumn("parts", most(F.col("s")) + 1)
     probes = probes.select("title", "s", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), (F.col("parts") - 1).alias("d"))
     a, b = cut_at(F.col("s"), F.col("parts"), F.col("i")), cut_at(F.col("s"), F.col("parts"), F.col("i") + 1)
     probes = probes.select("title", "s", "i", a.alias("a"), (b - a).alias("w"), F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("shift")).where((F.col("a") + F.col("shift") >= 0) & (F.col("a") + F.col("shift") + F.col("w") <= F.length("title")))
     looked = probes.select("title", F.xxhash64("s", "i", F.substring("title", F.col("a") + F.col("shift") + 1, F.col("w"))).alias("key"))
-    return own.union(looked).distinct()
+    return own, looked.distinct()
 
 
 def fuzzy(articles: DataFrame, least: float = FUZZY, mode: str = "indel") -> DataFrame:

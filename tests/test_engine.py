@@ -122,6 +122,32 @@ def test_fuzzy_pairs_against_all_pairs(spark, mode):
     assert want and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("mode", ["indel", "token"])
+def test_fuzzy_pairs_verifies_few_candidates(spark, monkeypatch, mode):
+    """Titles of a small vocabulary share segments and rare words with many others; few such pairs reach the ratio."""
+    from authorloom.functions import similarity as S
+
+    rng = random.Random(6)
+    vocabulary = [a + b for a in ("deep", "sea", "star", "gene", "cold") for b in ("", "ing", "er", "ish", "x", "ful")]
+    titles = sorted({" ".join(rng.sample(vocabulary, 3 if mode == "indel" else 12)) for _ in range(300)})
+    frame = spark.createDataFrame([(t,) for t in titles], "title string")
+    made = []
+    if mode == "indel":
+        monkeypatch.setattr(S, "indel_ratio_udf", lambda spark: lambda a, b: F.lit(1.0))
+        made.append(dedup.fuzzy_pairs(frame, 0.9, mode).count())
+    else:
+        candidates = dedup._token_candidates
+        monkeypatch.setattr(dedup, "_token_candidates", lambda sets, least: made.append(candidates(sets, least).count()) or candidates(sets, least))
+        dedup.fuzzy_pairs(frame, 0.8, mode)
+    assert made[0] < len(titles)
+
+
+def test_fuzzy_pairs_of_exactly_the_least_ratio(spark):
+    """0.1 x 20 edits are two, whatever the doubles say: one in each half of ten letters."""
+    frame = spark.createDataFrame([("abcdefghij",), ("acdefghzij",)], "title string")
+    assert [tuple(r) for r in dedup.fuzzy_pairs(frame, 0.9).collect()] == [("abcdefghij", "acdefghzij")]
+
+
 # ---- graph, components, clusters ---------------------------------------------
 
 def test_graph_goldens(spark):
