@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
@@ -383,6 +384,18 @@ def test_replay_is_exact_whatever_the_partitioning(spark):
     assert {d for d, _, _ in got.values()} == {"merge", "new", "unknown"}
 
 
+def test_fold_keeps_short_lists_and_its_scores(monkeypatch):
+    """All mentions of one surname: a key's list holds no more authors than can be candidates, and equal mentions are not scored anew."""
+    made, ratio = [], incremental.name_ratio
+    monkeypatch.setattr(incremental, "name_ratio", lambda a, b: made.append((a, b)) or ratio(a, b))
+    fold = incremental._Fold(0.9, 0.1, {"name": 0.5, "coauthors": 0.3, "journals": 0.2}, 10, 4)
+    names = [f"{a}{b} lee" for a in ("ann", "bob", "cy") for b in "abcd"]
+    row = namedtuple("row", "mention_id seq name norm orcid coauthors journals surname initial blocks")
+    got = [fold.decide(row(f"m{i}", i, names[i % 12], names[i % 12], "", [], ["P"], "lee", "lee_" + names[i % 12][0], ["mit"])) for i in range(600)]
+    assert max(map(len, fold.index.values())) <= 10 and len(fold.index["affil:mit"]) == 4
+    assert got[-1][5] == 10 and len(made) == len(set(made)) <= 144
+
+
 def test_streaming_micro_batches(spark, tmp_path):
     one = [("m1", 1, "Ann Lee", "", ["Bob"], ["Nature"], ["MIT"]), ("m2", 2, "Zed Xu", "", [], ["Cell"], [])]
     two = [("m3", 3, "Ann Lee", "", ["Bob"], ["Nature"], ["ETH"]), ("m4", 4, "Q Roe", "", [], [], [])]
