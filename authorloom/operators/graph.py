@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import check_limit
@@ -89,9 +89,33 @@ def affected_by_record(authors: DataFrame, full_scan_threshold: int = 0) -> Data
     return authors.select("author_id").crossJoin(n).where((F.col("n") > 0) & (F.col("n") <= full_scan_threshold)).select("author_id")  # one row
 
 
+def _fold(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def _known_as(authors: DataFrame) -> DataFrame:
+    """author_id, names: the folded canonical and alternate names, distinct and in order."""
+    names = F.concat(F.array("canonical_name"), F.coalesce("alternate_names", F.array().cast("array<string>")))
+    return authors.select("author_id", F.array_sort(F.array_distinct(F.filter(F.transform(names, _fold), lambda x: x.isNotNull()))).alias("names"))
+
+
 def coauthor_ids(records: DataFrame, authors: DataFrame) -> DataFrame:
     """record_id, author_id: authors whose canonical or alternate name equals a co-author's, ignoring case and outer blanks."""
-    fold = lambda c: F.lower(F.trim(c))
-    names = authors.select("author_id", F.explode(F.array_distinct(F.transform(F.concat(F.array("canonical_name"), F.coalesce("alternate_names", F.array().cast("array<string>"))), fold))).alias("k"))
-    asked = records.select("record_id", F.explode(F.array_distinct(F.transform("coauthors", fold))).alias("k")).where("k <> ''")
+    names = _known_as(authors).select("author_id", F.explode("names").alias("k"))
+    asked = records.select("record_id", F.explode(F.array_distinct(F.transform("coauthors", _fold))).alias("k")).where("k <> ''")
     return asked.join(names, "k").select("record_id", "author_id").distinct()
+
+
+def coauthor_counts(records: DataFrame, authors: DataFrame) -> DataFrame:
+    """record_id, authors: how many authors ``coauthor_ids`` finds for a record, if any.
+
+    Authors (author_id unique) of equal names are counted once for all records; a
+    record meets each such class, not each author, and a class of several names only once.
+    """
+    classes = _known_as(authors).where(F.size("names") > 0).groupBy("names").agg(F.count("*").alias("n"))
+    alone = classes.where(F.size("names") == 1).select(F.get("names", F.lit(0)).alias("k"), "n")
+    several = classes.where(F.size("names") > 1).select("names", "n", F.explode("names").alias("k"))
+    asked = records.select("record_id", F.explode(F.array_distinct(F.transform("coauthors", _fold))).alias("k")).where("k <> ''")
+    one = asked.join(alone, "k").select("record_id", "n")
+    more = asked.join(several, "k").groupBy("record_id", "names").agg(F.first("n").alias("n")).select("record_id", "n")
+    return one.union(more).groupBy("record_id").agg(F.sum("n").alias("authors"))
