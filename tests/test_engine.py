@@ -168,6 +168,31 @@ def test_graph_goldens(spark):
     assert graph.affected_by_record(au, 5).count() == 2 and graph.affected_by_record(au, 0).count() == 0
 
 
+def test_coauthor_counts_meet_classes_of_names(spark):
+    """As many authors as ``coauthor_ids`` finds; of authors of equal names a record meets one class."""
+    authors = [(f"a{i}", ["Ann Lee", "Bo Xu", "Cy Ode"][i % 3], [[], ["bo xu "], ["Dee", "ann lee"], None][i % 4]) for i in range(60)] + [("n", None, None), ("m", None, ["Dee", None])]
+    authors = spark.createDataFrame(authors, "author_id string, canonical_name string, alternate_names array<string>")
+    records = spark.createDataFrame([("r1", ["Ann Lee", " ANN LEE"]), ("r2", ["Bo Xu", "Dee", ""]), ("r3", ["Nobody", None]), ("r4", []), ("r5", ["cy ode", "ann lee", "bo xu"])], "record_id string, coauthors array<string>")
+    want = {r["record_id"]: r["count"] for r in graph.coauthor_ids(records, authors).groupBy("record_id").count().collect()}
+    got = {r["record_id"]: r["authors"] for r in graph.coauthor_counts(records, authors).collect()}
+    assert got == want and set(got) == {"r1", "r2", "r5"}
+
+
+def test_mentions_are_dealt_once_to_meet_their_authors(spark, sf_dir):
+    """jaccard_coauthors deals lines by person once, after one dealing by order, and no strings of co-authors."""
+    from authorloom.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = catalog.queries()["jaccard_coauthors"](spark, sf_dir)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]
+    assert sum("(person" in x for x in dealt) == 1 and not any("(doi" in x for x in dealt)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(60)]
