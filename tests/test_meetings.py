@@ -59,3 +59,16 @@ def test_profiles_are_scored_once_and_pairs_not_dealt_out(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, scoring.decide(twice, every, 0.7, 0.2).collect()), key=repr)
     above = pairs._jdf.queryExecution().executedPlan().toString().split("ShuffledHashJoin")[0]
     assert "Exchange" not in above  # what is dealt out are the two sides
+
+
+def test_sides_of_pairs_go_before_results_are_joined(spark, sf_dir):
+    """Once each profile's best is written, the sides that its pairs were made of are deleted."""
+    from authorloom import storage
+    from authorloom.plans import catalog
+
+    before = set(storage._written)
+    for name in ("legacy_decision", "best_match_fs", "incremental_snapshots"):
+        out = catalog.queries()[name](spark, sf_dir)
+        left = {x.rpartition("/")[2].split("-")[0] for x in set(storage._written) - before}
+        assert "tops" in left and not left & {"probed", "filed", "profiles"}
+        assert out.count() > 0
