@@ -522,3 +522,22 @@ def test_adapter_mentions(spark, sf_dir):
     m = adapter.mentions(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert m.count() == n == m.select("mention_id").distinct().count()
+
+
+def test_replay_query_uses_all_features(spark):
+    """Leaving out co-authors or affiliations, or forgetting those that merges add, changes the query's decisions or candidates."""
+    from authorloom.plans import adapter, catalog
+
+    sf_dir = "/root/testdata/sf0.01"  # with ORCIDs that several customers share
+    rows = incremental._normal(adapter.chinese_probes(spark, sf_dir)).toPandas()
+
+    def rolled(rows):
+        out = plain_replay(rows, 0.6, 0.2)
+        return {k: (len(g), g.author_id.nunique(), int(g.candidate_count.sum()), round(g.score_total.mean(), 5)) for k, g in out.groupby("decision")}
+
+    got = {r["decision"]: (r["n"], r["authors"], r["candidates"], round(r["mean_score"], 5)) for r in catalog.queries()["incremental_replay"](spark, sf_dir).collect()}
+    assert got == rolled(rows) and "merge" in got
+    for left_out in ("coauthors", "blocks", "journals", "orcid"):
+        less = rows.copy()
+        less[left_out] = [""] * len(rows) if left_out == "orcid" else [[]] * len(rows)
+        assert rolled(less) != got
